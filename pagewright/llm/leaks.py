@@ -126,17 +126,18 @@ def _in(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def search(index: Index, texts: list[str | None], known: dict[str, int]) -> list[tuple[int, int]]:
     """(number of the text, item) of the texts that contain a passage."""
-    parts: list[np.ndarray] = []
+    parts = [word_hashes(plain_words(t), known) if t else np.zeros(0, np.uint64) for t in texts]
+    lengths = np.array([len(h) for h in parts])
+    begins = np.concatenate([[0], np.cumsum(lengths)])
+    words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    shingles = rolling(words, SHINGLE)
     short: dict[int, list[tuple[int, np.ndarray]]] = {size: [] for size in SIZES}
     pieces, blocks, owner, spans = [], [], [], []
     full, base = SIZES[-1] - SHINGLE + 1, 0
-    for i, t in enumerate(texts):
-        h = word_hashes(plain_words(t), known) if t else np.zeros(0, np.uint64)
-        parts.append(h)
-        n = len(h)
+    for i, n in enumerate(lengths.tolist()):
         if n < PASSAGE:
             continue
-        s = rolling(h, SHINGLE)
+        s = shingles[begins[i] : begins[i] + n - SHINGLE + 1]
         if n <= SIZES[-1]:
             short[next(x for x in SIZES if n <= x)].append((i, s))
             continue
@@ -148,24 +149,31 @@ def search(index: Index, texts: list[str | None], known: dict[str, int]) -> list
         owner.append(np.full(len(starts), i))
         spans.append(starts)
         base += len(s) // STEP
-    candidates: list[tuple[int, int]] = []
+    who, where = [], []
     for size, own in short.items():
         for i, s in own:
             with np.errstate(over="ignore"):
                 if any(_in(index.bands[k], (s * _SEEDS[k]).min(keepdims=True))[0] for k in range(bands(size))):
-                    candidates.append((i, 0))
+                    who.append(np.array([i]))
+                    where.append(np.array([0]))
     if pieces:
         flat, at = np.concatenate(pieces), np.concatenate(blocks)
         hit = np.zeros(len(at), bool)
         for k in range(FUNCTIONS):
             hit |= _in(index.bands[k], window_minhash(flat, at, full, k))
-        chosen = np.flatnonzero(hit)
-        candidates += zip(np.concatenate(owner)[chosen].tolist(), np.concatenate(spans)[chosen].tolist())
-    found: set[tuple[int, int]] = set()
-    for i, start in candidates:
-        p = rolling(parts[i][start : start + 2 * PASSAGE], PASSAGE)
-        for x in p[_in(index.passages, p)].tolist():
-            found |= {(i, item) for item in index.exact[x]}
+        who.append(np.concatenate(owner)[hit])
+        where.append(np.concatenate(spans)[hit])
+    if not who:
+        return []
+    # Exact containment: the passages that begin in a candidate window and end in the same text.
+    who, where = np.concatenate(who), np.concatenate(where)
+    passages = rolling(words, PASSAGE)
+    offsets = where[:, None] + np.arange(PASSAGE + 1)
+    inside = offsets <= (lengths[who] - PASSAGE)[:, None]
+    rows = np.broadcast_to(who[:, None], offsets.shape)[inside]
+    values = passages[(begins[who][:, None] + offsets)[inside]]
+    same = _in(index.passages, values)
+    found = {(i, item) for i, x in zip(rows[same].tolist(), values[same].tolist()) for item in index.exact[x]}
     return sorted(found)
 
 
