@@ -1,12 +1,17 @@
 """Queries of this subpackage; none has SQL, as regular expressions and models decide."""
 
-from pagewright.llm import encoding, forms, leaks, repetition, tokenize
+from pagewright.llm import encoding, forms, language, leaks, markup, quality, repetition, residue, tokenize
 
 QUERIES = {
+    "p1_found": language.p1_found,
     "p2_found": encoding.p2_found,
     "p4_found": forms.p4_found,
+    "p5_found": quality.p5_found,
+    "p5_statistics": quality.p5_statistics,
     "p6_found": repetition.p6_found,
+    "p7_found": markup.p7_found,
     "p8_ids": tokenize.p8_ids,
     "p9_found": leaks.p9_found,
+    "p10_found": residue.p10_found,
 }
 ORACLE: dict[str, str] = {}
