@@ -251,26 +251,40 @@ def is_garbled(text: str | None) -> bool:
     return bool(text) and bool(QUICK.search(text)) and bool(labels(text))
 
 
-# Rows with none of these need no model: all their characters are usual where they stand.
-USUAL = "".join(sorted(set(ALPHABET) - set("‚…·°€§£¡¿ãõæÃÕÆẞÿ¿"))) 
-_ODD = (
-    rf"[^\x00-\x7f{USUAL}\xa0\xad]|\p{{L}}\?\p{{L}}|\p{{L}}\?\s+\p{{Ll}}|(?:^|[\s'’(«“])\?\p{{Ll}}"
-    rf"|\p{{Ll}}[{re.escape(''.join(c for c in ALPHABET if c.isalpha() and c.isupper()))}]|\p{{L}}[“”„«»–—•‘]\p{{L}}"
+def _ranges(codes: list[int]) -> str:
+    """A character class's inner part for these codes; few ranges keep the test of a character cheap."""
+    out, start = [], None
+    for i, c in enumerate(codes):
+        start = c if start is None else start
+        if i + 1 == len(codes) or codes[i + 1] != c + 1:
+            out.append(f"\\x{start:02x}-\\x{c:02x}")
+            start = None
+    return "".join(out)
+
+
+_USUAL = set("àâäáçéèêëíìîïñóòôöœßúùûü") | set("ÀÂÄÁÇÉÈÊËÍÌÎÏÑÓÒÔÖŒÚÙÛÜ") | set("\xa0\xad¬«»·")
+#: Characters up to U+00FF that clean text hardly has.
+UNUSUAL = _ranges([c for c in range(0x80, 0x100) if chr(c) not in _USUAL])
+# Rows without any match need no model: all their characters are usual where they stand. Every alternative begins with
+# a class that usual text seldom meets, so that most characters cost one test each.
+QUICK = re.compile(
+    rf"[{UNUSUAL}]|[^\x00-\xffœŒ\u2010-\u2026]|[\u2010-\u2012\u2015\u201a\u201b\u201f-\u2021\u2023-\u2026]|¬(?![\r\n])|[À-Þ](?<=[a-zß-ÿ].)"
+    r"|[«»·–—‘“”„•](?<=[^\W\d_].)(?=[^\W\d_])|\?(?<=[^\W\d_].)(?=[^\W\d_]|\s+[a-zß-ÿ])|\?(?<=[\s'’(«“].)(?=[a-zß-ÿ])|^\?[a-zß-ÿ]"
 )
-QUICK = re.compile(_ODD.replace(r"\p{Ll}", "[a-zß-ÿ]").replace(r"\p{L}", r"[^\W\d_]"))
 
 
 def garbled_rows(df: DataFrame, text: str = "content", keys: tuple[str, ...] = ("doc_id", "pos")) -> DataFrame:
     """keys, repaired text and spans of the rows of df that hold garbled characters; other columns don't matter.
 
-    A regular expression in the JVM keeps the rows with a character that is odd where it stands; the model reads
-    those alone. No shuffle; nulls, empty and blank texts give no row; a row given twice comes out twice.
+    The JVM keeps the rows that aren't ASCII or hold a question mark, a regular expression in the workers those with a
+    character that is odd where it stands; the model reads those alone. No shuffle; nulls, empty and blank texts give no row; a row given twice comes out twice.
     """
-    kept = df.select(*keys, F.col(text).alias("text")).where(F.col("text").rlike(_ODD))
+    kept = df.select(*keys, F.col(text).alias("text")).where("octet_length(text) > length(text) or contains(text, '?')")
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", repaired string, spans array<struct<start:int,stop:int,pair:string>>"
 
     def run(batches):
         for b in batches:
+            b = b[[QUICK.search(t) is not None for t in b["text"]]]
             got = [repair(t) for t in b["text"]]
             hit = [bool(spans) for _, spans in got]
             out = b.loc[hit, list(keys)].reset_index(drop=True)
