@@ -94,7 +94,7 @@ def fold_key(text: Column) -> Column:
 
 
 #: Rows without any of these are consistent: the model's usual characters beyond ASCII have no other form.
-_ODD = rf"[^\x00-\x7f{encoding.USUAL}·•€§£¡¿]|[{IGNORABLE}{SPACES}]"
+_ODD = re.compile(rf"[{encoding.UNUSUAL}\xa0\xad]|[^\x00-\xffœŒ\u2010-\u2023]")
 
 
 def inconsistent_rows(df: DataFrame, text: str = "content", keys: tuple[str, ...] = ("doc_id", "pos"), but_garbled: bool = True) -> DataFrame:
@@ -103,11 +103,12 @@ def inconsistent_rows(df: DataFrame, text: str = "content", keys: tuple[str, ...
     but_garbled leaves out texts with garbled characters, which are to be repaired first (p2). No shuffle; null,
     empty and blank texts give no row; a row given twice comes out twice; other columns don't matter.
     """
-    kept = df.select(*keys, F.col(text).alias("text")).where(F.col("text").rlike(_ODD) & F.col("text").rlike(r"[^\s\p{Z}]"))
+    kept = df.select(*keys, F.col(text).alias("text")).where("octet_length(text) > length(text)")
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", consistent string, folded string"
 
     def run(batches):
         for b in batches:
+            b = b[[_ODD.search(t) is not None and not t.isspace() for t in b["text"]]]
             forms = b["text"].map(consistent)
             hit = (forms != b["text"]) & ~b["text"].map(lambda t: but_garbled and encoding.is_garbled(t))
             hit |= b["text"].map(mixed_scripts) & ~b["text"].map(lambda t: but_garbled and encoding.is_garbled(t))

@@ -77,7 +77,6 @@ LATIN = frozenset(
     labor eum corpora fugit quasi turba""".split()
 )
 WORD = re.compile(r"[^\W_]+")
-_FORMS = re.compile(_ODD)
 _WRAPPED = re.compile(r"\n(?<=[^\s.!?:;|]\n)(?=[a-zß-ÿ])|\n(?<=[^\s.!?:;|][ \r]\n)(?=[a-zß-ÿ])")
 _NEXT = re.compile(r" (?:(?<=[.!?] )|(?<=[.!?][\"'»”’)\]] ))\s*(?=[\"'«“„(\[<{]*[^\W\da-zß-ÿ])")
 RESIDUE, PLAIN, OPEN = 2, 1, 0
@@ -164,7 +163,7 @@ def read_units(df: DataFrame, key: str, text: str) -> DataFrame:
         for b in batches:
             keys, kinds, texts, sizes, flat = [], [], [], [], []
             for k, t in zip(b["key"].tolist(), b["text"].tolist()):
-                if not t.isascii() and _FORMS.search(t):
+                if not t.isascii() and _ODD.search(t):
                     t = consistent(t)
                 low = t.lower()
                 hint, sign = any(x in low for x in _HINTS), any(x in t for x in _SIGNS)
