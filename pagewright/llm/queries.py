@@ -1,10 +1,11 @@
 """Queries of this subpackage; none has SQL, as regular expressions and models decide."""
 
-from pagewright.llm import encoding, forms, language, leaks, markup, quality, repetition, residue, tokenize
+from pagewright.llm import encoding, forms, language, leaks, markup, quality, repetition, residue, scans, tokenize
 
 QUERIES = {
     "p1_found": language.p1_found,
     "p2_found": encoding.p2_found,
+    "p3_found": scans.p3_found,
     "p4_found": forms.p4_found,
     "p5_found": quality.p5_found,
     "p5_statistics": quality.p5_statistics,
