@@ -16,12 +16,13 @@ WORD = r"[\p{L}\p{N}_]"
 
 
 def strip(t: Column) -> Column:
-    """Without white space at either end."""
-    return F.regexp_replace(t, rf"\A[{BLANKS}]+|[{BLANKS}]+\z", "")
+    """Without white space at either end; texts without any there aren't searched."""
+    outer = F.concat(F.left(t, F.lit(1)), F.right(t, F.lit(1)))
+    return F.when(outer.rlike(f"[{BLANKS}]"), F.regexp_replace(t, rf"\A[{BLANKS}]+|[{BLANKS}]+\z", "")).otherwise(t)
 
 
 def rstrip(t: Column) -> Column:
-    return F.regexp_replace(t, rf"[{BLANKS}]+\z", "")
+    return F.when(F.right(t, F.lit(1)).rlike(f"[{BLANKS}]"), F.regexp_replace(t, rf"[{BLANKS}]+\z", "")).otherwise(t)
 
 
 def is_blank(t: Column) -> Column:

@@ -64,26 +64,41 @@ def limit_newlines(t: Column, most: int = 2) -> Column:
     return _only(F.contains(t, F.lit("\n" * (most + 1))), F.regexp_replace(t, f"\n{{{most + 1},}}", "\n" * most), t)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once, also for expressions that use it for each element of an array."""
+    return F.transform(F.array(value), body)[0]
+
+
 def dedup_paragraphs(t: Column, least: int = 3) -> Column:
     """Keeps the first of paragraphs that occur at least so often, compared without white space at the ends.
 
-    Paragraphs lie between two line feeds in a row. Texts without any repeated paragraph are passed by a hash test.
+    Paragraphs lie between two line feeds in a row. Keys are sorted with their places, so that equal ones stand side by
+    side; a paragraph goes if the one before has its key and a window of that many equal keys holds it. The cost is that
+    of sorting; texts without any repeated paragraph only pass a hash test.
     """
-    paragraphs = F.split(t, "\n\n", -1)
-    keys = F.transform(paragraphs, T.strip)
-    filled = F.filter(keys, lambda k: k != "")
 
-    def keep(p: Column, i: Column) -> Column:
-        key = T.strip(p)
-        times = F.size(F.filter(keys, lambda k: k == key))
-        return (key == "") | (times < least) | (F.array_position(keys, key) == i + 1)
+    def rebuilt(paragraphs: Column) -> Column:
+        keys = F.transform(paragraphs, T.strip)
+        ordered = F.array_sort(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(keys)) < F.size(keys), _let(ordered, lambda o: without(paragraphs, o))).otherwise(F.array_join(paragraphs, "\n\n"))
+
+    def without(paragraphs: Column, o: Column) -> Column:
+        def goes(x: Column, j: Column) -> Column:
+            again = F.get(o, j - 1)["k"] == x["k"]
+            often = F.lit(False)
+            for s in range(least):
+                often = often | ((F.get(o, j - s)["k"] == x["k"]) & (F.get(o, j - s + least - 1)["k"] == x["k"]))
+            return (x["k"] != "") & F.coalesce(again & often, F.lit(False))
+
+        dropped = F.transform(F.filter(o, goes), lambda x: x["i"])
+        return _let(dropped, lambda d: F.array_join(F.filter(paragraphs, lambda p, i: ~F.array_contains(d, i)), "\n\n"))
 
-    return _only(F.contains(t, F.lit("\n\n")) & (F.size(F.array_distinct(filled)) < F.size(filled)), F.array_join(F.filter(paragraphs, keep), "\n\n"), t)
+    return _only(F.contains(t, F.lit("\n\n")), _let(F.split(t, "\n\n", -1), rebuilt), t)
 
 
 def strip_punctuation_lines(t: Column) -> Column:
     """Drops lines of three or more characters without a letter or digit; ends every line with one line feed."""
-    kept = F.filter(T.lines(t), lambda x: (F.length(T.strip(x)) < 3) | x.rlike(r"[\p{L}\p{N}]"))
+    kept = F.filter(T.lines(t), lambda x: x.rlike(r"[\p{L}\p{N}]") | (F.length(T.strip(x)) < 3))
     return F.array_join(kept, "\n")
 
 
