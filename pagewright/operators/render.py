@@ -14,7 +14,7 @@ FIGURES = (
 )
 #: Texts that YAML would read as something else, or that need quotes to be read at all.
 _NEEDS_QUOTES = (
-    r"(?i)\A(?:|[-?:]|[-?:] .*|[,\[\]{}#&*!|>'\"%@`].*|.*: .*|.* #.*|.*:|\s.*|.*\s|~|null|yes|no|on|off|true|false|y|n|[-+.\d][\d_.:,eE+\-TZx]*|---.*|=|<<)\z"
+    r"(?i)\A(?:|[-?:]|[-?:] .*|[,\[\]{}#&*!|>'\"%@`].*|.*: .*|.* #.*|.*:|\s.*|.*\s|~|null|yes|no|on|off|true|false|y|n|[-+.\d][\d_.:,eE+\-TZ]*|[-+]?0[xob][\da-f_]+|[-+]?\.(?:inf|nan)|---.*|=|<<)\z"
 )
 
 

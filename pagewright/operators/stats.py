@@ -12,7 +12,7 @@ CHARS_PER_TOKEN = 4
 
 def estimate_tokens(t: Column) -> Column:
     """A quarter of the characters, at least 1, and 0 for an empty text."""
-    return F.when(t == "", F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(F.length(t) / CHARS_PER_TOKEN))).cast("bigint")
+    return F.when(t == "", F.lit(0)).when(t.isNotNull(), F.greatest(F.lit(1), F.floor(F.length(t) / CHARS_PER_TOKEN))).cast("bigint")
 
 
 def document_text(sections: DataFrame, content: str = "content") -> DataFrame:

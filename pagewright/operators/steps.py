@@ -84,11 +84,13 @@ def dedup_paragraphs(t: Column, least: int = 3) -> Column:
 
     def without(paragraphs: Column, o: Column) -> Column:
         def goes(x: Column, j: Column) -> Column:
-            again = F.get(o, j - 1)["k"] == x["k"]
+            # Not F.get: a Python step after it would not be taken out of the plan.
+            again = F.when(j > 0, o[j - 1]["k"] == x["k"]).otherwise(False)
             often = F.lit(False)
             for s in range(least):
-                often = often | ((F.get(o, j - s)["k"] == x["k"]) & (F.get(o, j - s + least - 1)["k"] == x["k"]))
-            return (x["k"] != "") & F.coalesce(again & often, F.lit(False))
+                inside = (j >= s) & (j - s + least - 1 < F.size(o))
+                often = often | F.when(inside, (o[j - s]["k"] == x["k"]) & (o[j - s + least - 1]["k"] == x["k"])).otherwise(False)
+            return (x["k"] != "") & again & often
 
         dropped = F.transform(F.filter(o, goes), lambda x: x["i"])
         return _let(dropped, lambda d: F.array_join(F.filter(paragraphs, lambda p, i: ~F.array_contains(d, i)), "\n\n"))
@@ -111,6 +113,7 @@ def finalize(t: Column) -> Column:
 class Step:
     name: str
     apply: Callable[[Column], Column]
+    python: bool = False
 
 
 def python_step(name: str, fn: Callable[[str], str]) -> Step:
@@ -123,7 +126,7 @@ def python_step(name: str, fn: Callable[[str], str]) -> Step:
 
         return run(t)
 
-    return Step(name, apply)
+    return Step(name, apply, True)
 
 
 @dataclass(frozen=True)
@@ -152,6 +155,9 @@ class Pipeline:
     def _staged(self, df: DataFrame, text: str) -> DataFrame:
         d = df.withColumn("__0", F.col(text))
         for i, s in enumerate(self.steps, 1):
+            if s.python and i > 1:
+                # Keeps the steps before out of the Python function's arguments, from which nested lambdas can't be taken.
+                d = d.select("*", F.explode(F.array(f"__{i - 1}")).alias("__kept")).drop(f"__{i - 1}").withColumnRenamed("__kept", f"__{i - 1}")
             d = d.withColumn(f"__{i}", s.apply(F.col(f"__{i - 1}")))
         return d
 
