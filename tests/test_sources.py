@@ -166,5 +166,5 @@ def test_stream(spark, tmp_path):
     spark.range(20).select(F.concat(F.lit("a  b "), F.col("id") % 5).alias("text"), F.timestamp_seconds(F.col("id")).alias("loaded_at"), F.lit("s").alias("source")).coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema("text string, loaded_at timestamp, source string").parquet(str(tmp_path / "in"))
     seen = []
-    stream.start(stream.cleaned(stream.without_repeats(source)), lambda df, i: seen.extend(r.text for r in df.collect()), "clean_test").awaitTermination(60)
+    stream.start(stream.cleaned(stream.without_repeats(source)), lambda df, i: seen.extend(r.text for r in df.collect()), f"clean_{tmp_path.parent.name}_{tmp_path.stat().st_ino}").awaitTermination(60)
     assert sorted(seen) == [f"a b {i}" for i in range(5)]
