@@ -93,7 +93,7 @@ def split_sentences(text: str) -> list[str]:
 def is_sentence(s: str, whole: bool = True) -> bool:
     """A sentence in its own right: a capital, an end and words that hold it together."""
     ws = WORD.findall(s)
-    if len(ws) < 5 or stop_share(ws) < 0.12:
+    if len(ws) < 4 or stop_share(ws) < 0.12:
         return False
     if not whole:
         return True

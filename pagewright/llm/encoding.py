@@ -107,6 +107,11 @@ def model() -> tuple[dict, list[dict[str, str]], np.ndarray]:
                     e[s] += weight if k == 0 else 2 / len(ALPHABET)
                     before = x
         maps.append(inverse)
+    for before in {b for b, _ in emit if b}:  # within a character, what follows depends on what came
+        own = [k for k in emit if k[0] == before]
+        total = sum(emit[k] for k in own)
+        for k in own:
+            emit[k] = 0.9 * emit[k] / np.maximum(total, 1e-12)
     lost = emit.setdefault(("", "�"), np.zeros(N))
     lost[LOST] = 0.5
     for e in emit.values():
@@ -149,7 +154,7 @@ def clean(before: str, c: str, after: str) -> float:
     if c in SIGNS:
         if before.isalpha() and (c in "‚…·°€§£¡¿" or inner):
             return 1e-7
-        return 1e-5 if c == "‚" else 0.05
+        return 1e-5 if c == "‚" else 0.005 if before and not before.isascii() and before not in LETTERS else 0.05
     if c in LOOK_ALIKE and (before.isalpha() and before.isascii() or after.isalpha() and after.isascii()):
         return 0.02
     if c == "?":
@@ -290,7 +295,8 @@ def garbled_rows(df: DataFrame, text: str = "content", keys: tuple[str, ...] = (
             out = b.loc[hit, list(keys)].reset_index(drop=True)
             out["repaired"] = [t for t, spans in got if spans]
             out["spans"] = [[{"start": i, "stop": j, "pair": p} for i, j, p in spans] for _, spans in got if spans]
-            yield out
+            if len(out):  # an empty column has no kind that would become an array
+                yield out
 
     return kept.mapInPandas(run, schema)
 

@@ -115,7 +115,8 @@ def inconsistent_rows(df: DataFrame, text: str = "content", keys: tuple[str, ...
             out = b.loc[hit, list(keys)].reset_index(drop=True)
             out["consistent"] = forms[hit].reset_index(drop=True)
             out["folded"] = out["consistent"].map(str.casefold)
-            yield out
+            if len(out):
+                yield out
 
     return kept.mapInPandas(run, schema)
 

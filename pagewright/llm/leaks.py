@@ -208,7 +208,8 @@ def leaked(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
                     got += [(i + n, item) for n, item in search(index, texts[i : i + 500], known)]
                 res = b[["key"]].iloc[[n for n, _ in got]].reset_index(drop=True)
                 res["item"] = [item for _, item in got]
-                yield res
+                if got:
+                    yield res
 
         part = rows.mapInPandas(run, kinds)
         out = part if out is None else out.unionByName(part)

@@ -185,7 +185,8 @@ def marked_rows(df: DataFrame, text: str = "content", keys: tuple[str, ...] = ("
             hit = b["text"].map(has_marks).astype(bool)
             got = [clean(t) for t in b.loc[hit, "text"]]
             out = b.loc[hit, list(keys)].reset_index(drop=True)
-            yield pd.concat([out, pd.DataFrame(got, columns=["clean", "n_marks", "n_dropped"])], axis=1)
+            if got:
+                yield pd.concat([out, pd.DataFrame(got, columns=["clean", "n_marks", "n_dropped"])], axis=1)
 
     return kept.mapInPandas(run, schema)
 

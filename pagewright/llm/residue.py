@@ -94,7 +94,7 @@ def has_placeholder(unit: str) -> bool:
 def label(unit: str, words: list[str]) -> int:
     """RESIDUE for messages, notices and filler, PLAIN for sentences about them, OPEN for the rest."""
     if MESSAGE.search(unit):
-        return PLAIN if TELLS.match(unit) or len(words) > 25 else RESIDUE
+        return PLAIN if TELLS.match(unit) or len(words) > 40 else RESIDUE
     if FILLER.search(unit):
         return RESIDUE
     return RESIDUE if is_latin(words) else OPEN
