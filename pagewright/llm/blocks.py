@@ -106,7 +106,7 @@ def join_lines(lines: list[str]) -> str:
     out = lines[0].strip()
     for line in lines[1:]:
         line = line.strip()
-        if out and out[-1] in "-¬\xad" and line[:1].islower() and out[-2:-1].isalpha():
+        if out and out[-1] in "-¬=\xad" and line[:1].islower() and out[-2:-1].isalpha():
             out = out[:-1] + line
         else:
             out += " " + line

@@ -15,9 +15,11 @@ import time
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagewright.session import cut_lineage
 from pagewright.tables import table
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -122,26 +124,94 @@ def repeated_share(text: str, least: float = 0.0, rules: list[Callable[[Words],
     return exact_share(w)
 
 
-def repeated_documents(df: DataFrame, least: float = 0.3, key: str = "doc_id", order: str = "pos", text: str = "content") -> DataFrame:
-    """(key, share) of the documents whose repeated share is at least that; least=0 gives every document.
+#: Documents of more characters than this are not gathered in one row; they take the way over blocks of words.
+WHOLE = 20_000_000
+BLOCK, SPAN = 4096, 1024
 
-    One shuffle by document. The text of one document is the unit of work, as its words are compared with each other.
+
+def repeated_documents(df: DataFrame, least: float = 0.3, key: str = "doc_id", order: str = "pos", text: str = "content", whole: int = WHOLE) -> DataFrame:
+    """(key, share) of the documents whose repeated share is at least that; least=0 gives every document with a text.
+
+    Usual documents are gathered by one shuffle and pass the cascade. Those of more than whole characters are never
+    gathered: their words get places by two levels of sums, runs are made in blocks of BLOCK words and counted by shuffle.
     """
     parts = df.select(F.col(key).alias("key"), F.col(order).alias("at"), F.col(text).alias("text")).where("text is not null")
+    sizes = parts.groupBy("key").agg(F.sum(F.length("text")).alias("size"))
+    large = [r.key for r in sizes.where(f"size > {whole} and key is not null").select("key").limit(MOST_LARGE + 1).collect()]
+    if len(large) > MOST_LARGE:
+        raise ValueError(f"more than {MOST_LARGE} documents of over {whole} characters: raise whole")
+    kind = df.schema[key].dataType.simpleString()
+    usual = _usual(parts.where(~F.col("key").isin(large) | F.col("key").isNull()) if large else parts, least, kind)
+    found = usual.unionByName(_large(parts.where(F.col("key").isin(large)), kind).where(F.col("share") >= least)) if large else usual
+    return found.withColumnRenamed("key", key)
+
+
+#: Of the large documents only the keys reach the driver.
+MOST_LARGE = 10_000
+
+
+def _usual(parts: DataFrame, least: float, kind: str) -> DataFrame:
     listed = parts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("parts"))
     whole = listed.select("key", F.expr("array_join(transform(filter(parts, (x, i) -> i = 0 or not (x.at <=> parts[i - 1].at)), x -> x.text), '\n')").alias("text"))
-    kind = df.schema[key].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             texts = b["text"].tolist()
             rules = order_rules(texts[:SAMPLE], least) if least else []
             share = np.array([repeated_share(t, least, rules) for t in texts])
-            out = b[["key"]].rename(columns={"key": key})
+            out = b[["key"]].copy()
             out["share"] = share
             yield out[share >= least]
 
-    return whole.mapInPandas(run, f"`{key}` {kind}, share double")
+    return whole.mapInPandas(run, f"key {kind}, share double")
+
+
+def _large(parts: DataFrame, kind: str) -> DataFrame:
+    """(key, share) without a row or task that holds a whole document."""
+    once = parts.groupBy("key", "at").agg(F.min("text").alias("text"))
+
+    def number(batches):
+        import xxhash
+
+        for b in batches:
+            words = [[xxhash.xxh64_intdigest(w) - (1 << 63) for w in WORD.findall(t.casefold())] for t in b["text"]]
+            out = b[["key", "at"]].copy()
+            out["words"] = words
+            if len(out):
+                yield out
+
+    at = parts.schema["at"].dataType.simpleString()
+    words = once.mapInPandas(number, f"key {kind}, at {at}, words array<long>").where("size(words) > 0").withColumn("span", F.expr(f"coalesce(cast(at as bigint), -1) div {SPAN}"))
+    words = cut_lineage(words)
+    spans = words.groupBy("key", "span").agg(F.sum(F.size("words")).alias("n"))
+    before = spans.select("key", "span", (F.sum("n").over(Window.partitionBy("key").orderBy("span")) - F.col("n")).alias("span_start"))
+    inner = words.select("key", "span", "at", (F.sum(F.size("words")).over(Window.partitionBy("key", "span").orderBy(F.col("at").asc_nulls_first())) - F.size("words")).alias("inner_start"))
+    starts = inner.join(before, ["key", "span"]).select("key", F.col("at").alias("start_at"), (F.col("span_start") + F.col("inner_start")).alias("start"))
+    placed = words.withColumnRenamed("key", "k").join(starts, (F.col("k") == F.col("key")) & F.col("at").eqNullSafe(F.col("start_at")))
+    each = placed.select("key", "start", F.posexplode("words").alias("i", "word")).select("key", (F.col("start") + F.col("i")).alias("place"), "word")
+    # The first words of a block close the runs of the block before.
+    blocks = F.when((F.col("place") % BLOCK < RUN - 1) & (F.col("place") >= BLOCK), F.array(F.expr(f"place div {BLOCK}"), F.expr(f"place div {BLOCK} - 1"))).otherwise(F.array(F.expr(f"place div {BLOCK}")))
+    listed = each.select("key", "place", "word", F.explode(blocks).alias("block")).groupBy("key", "block").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).alias("words"))
+    listed = listed.select("key", F.col("words")[0]["place"].alias("first"), F.transform("words", lambda x: x["word"]).alias("words"))
+
+    def runs(batches):
+        for b in batches:
+            for k, first, w in zip(b["key"], b["first"], b["words"]):
+                c = np.asarray(w, np.int64).view(np.uint64)
+                if len(c) >= RUN:
+                    out = np.zeros(len(c) - RUN + 1, np.uint64)
+                    with np.errstate(over="ignore"):
+                        for j in range(RUN):
+                            x = (c[j : len(c) - RUN + 1 + j] ^ np.uint64(0x632BE5AB)) * _MULTIPLIERS[j]
+                            out += x ^ (x >> np.uint64(29))
+                    yield pd.DataFrame({"key": k, "run": out.view(np.int64), "place": first + np.arange(len(out))})
+
+    found = listed.mapInPandas(runs, f"key {kind}, run long, place long")
+    first = found.groupBy("key", "run").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = found.join(first, ["key", "run"]).where("place > first").select("key", F.explode(F.sequence("place", F.col("place") + RUN - 1)).alias("covered")).distinct()
+    covered = again.groupBy("key").agg(F.count(F.lit(1)).alias("covered"))
+    total = spans.groupBy("key").agg(F.sum("n").alias("total"))
+    return total.join(covered, "key", "left").select("key", (F.coalesce("covered", F.lit(0)) / F.col("total")).alias("share"))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:

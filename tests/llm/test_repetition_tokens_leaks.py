@@ -44,6 +44,22 @@ def test_repeated_documents(spark):
     assert repetition.repeated_documents(df.limit(0)).count() == 0
 
 
+def test_large_documents_take_another_way(spark, monkeypatch):
+    monkeypatch.setattr(repetition, "BLOCK", 16)
+    monkeypatch.setattr(repetition, "SPAN", 3)
+    r = random.Random(4)
+    rows = []
+    for doc in range(8):
+        part = random_text(r, 30, 200)
+        rows += [(doc, i, part if r.random() < 0.4 else random_text(r, r.randrange(40), 200)) for i in range(12)]
+    rows += [(8, 0, "1 2 3 " * 30), (8, 1, None), rows[5]]
+    df = spark.createDataFrame(rows, "doc_id long, pos int, content string")
+    usual = {x.doc_id: x.share for x in repetition.repeated_documents(df, 0.0).collect()}
+    large = {x.doc_id: x.share for x in repetition.repeated_documents(df, 0.0, whole=100).collect()}
+    assert any(0.1 < x < 0.9 for x in usual.values())
+    assert {k: v for k, v in usual.items() if k < 8} == pytest.approx(large)
+
+
 def test_tree_joins_are_exact(spark):
     e = tokenize.Encoder(open(tokenize.vocabulary_file(), "rb").read())
     r = random.Random(5)

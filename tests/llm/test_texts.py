@@ -187,7 +187,7 @@ def test_words_are_decoded():
     assert lex.decode([("techn!que", "")]) == [("technique", "c")] and lex.decode([("bavok", "")])[0][1] == ""
 
 
-@pytest.mark.parametrize(("text", "broken", "misread"), [("the tech-\nnique", True, False), ("au sous-\nsol", False, False), ("the serv1ce here", False, True), ("the rnodern corner", False, True), ("K3B R-45 T9D code", False, False), ("fine service.", False, False), ("The expe-", True, False)])
+@pytest.mark.parametrize(("text", "broken", "misread"), [("the tech-\nnique", True, False), ("the tech=\r\nnique", True, False), ("the tech�\nnique", True, False), ("fini�\ndu", False, False), ("au sous-\nsol", False, False), ("the serv1ce here", False, True), ("the rnodern corner", False, True), ("K3B R-45 T9D code", False, False), ("fine service.", False, False), ("The expe-", True, False)])
 def test_scan_noise_in_words(text, broken, misread):
     lex = lexicon()
     assert (scans.has_break(text, lex), scans.has_misread(text, lex)) == (broken, misread)
