@@ -174,7 +174,7 @@ def language_segments(df: DataFrame, model: Model, text: str = "content", keys:
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in (x.iloc[i : i + 1000] for x in batches for i in range(0, len(x), 1000)):
             sentences, owner = [], []
             for i, t in enumerate(b["text"]):
                 parsed = blocks.parse(t)

@@ -155,44 +155,59 @@ def jaccard(a: str, b: str) -> float:
     return len(x & y) / len(x | y)
 
 
+#: So many words are numbered at once, which bounds the memory of a worker.
+WORDS_AT_ONCE = 300_000
+
+
+def labelled_units(text: str):
+    """(kind, words in small letters) of each unit; 3 for a unit with a placeholder."""
+    if not text.isascii() and _ODD.search(text):
+        text = consistent(text)
+    low = text.lower()
+    hint, sign = any(x in low for x in _HINTS), any(x in text for x in _SIGNS)
+    for u in units(text):
+        words = WORD.findall(u.lower())
+        if not words:
+            continue
+        if sign and has_placeholder(u):
+            yield 3, words
+        elif hint:
+            yield label(u, words), words
+        else:
+            yield RESIDUE if words[0] in LATIN and is_latin(words) else OPEN, words
+
+
+def coded(rows: list[tuple], flat: list[str]) -> pd.DataFrame:
+    """Units with their number and SimHash. Features are the words with their left neighbour, so that order counts."""
+    out = pd.DataFrame(rows, columns=["key", "kind", "size", "words"])
+    codes, sizes = word_codes(flat), out["size"].to_numpy()
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    left = np.roll(codes, 1)
+    left[starts] = 0
+    with np.errstate(over="ignore"):
+        pairs = mix(codes * np.uint64(0x9E3779B97F4A7C15) + left)
+        out["unit"] = np.add.reduceat(mix(pairs + codes), starts).view(np.int64)
+    out["sim"] = simhashes(pairs, sizes).view(np.int64)
+    return out[["key", "unit", "sim", "kind", "words"]]
+
+
 def read_units(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, unit, sim, kind, words): the distinct units of each row; kind 3 marks a row with a placeholder, without a unit."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):
+        rows: list[tuple] = []
+        flat: list[str] = []
         for b in batches:
-            keys, kinds, texts, sizes, flat = [], [], [], [], []
             for k, t in zip(b["key"].tolist(), b["text"].tolist()):
-                if not t.isascii() and _ODD.search(t):
-                    t = consistent(t)
-                low = t.lower()
-                hint, sign = any(x in low for x in _HINTS), any(x in t for x in _SIGNS)
-                for u in units(t):
-                    words = WORD.findall(u.lower())
-                    if not words:
-                        continue
-                    if sign and has_placeholder(u):
-                        kind = 3
-                    elif hint:
-                        kind = label(u, words)
-                    else:
-                        kind = RESIDUE if words[0] in LATIN and is_latin(words) else OPEN
-                    keys.append(k)
-                    kinds.append(kind)
-                    texts.append(" ".join(words) if kind < 3 else "")
-                    sizes.append(len(words))
+                for kind, words in labelled_units(t):
+                    rows.append((k, kind, len(words), " ".join(words) if kind < 3 else ""))
                     flat += words
-            if not keys:
-                continue
-            # Features are the words with their left neighbour, so that order counts.
-            codes, sizes = word_codes(flat), np.array(sizes)
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            left = np.roll(codes, 1)
-            left[starts] = 0
-            with np.errstate(over="ignore"):
-                pairs = mix(codes * np.uint64(0x9E3779B97F4A7C15) + left)
-                unit = np.add.reduceat(mix(pairs + codes), starts)
-            yield pd.DataFrame({"key": keys, "unit": unit.view(np.int64), "sim": simhashes(pairs, sizes).view(np.int64), "kind": kinds, "words": texts})
+                if len(flat) > WORDS_AT_ONCE:
+                    yield coded(rows, flat)
+                    rows, flat = [], []
+        if rows:
+            yield coded(rows, flat)
 
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(r"text rlike '[^\\s\\p{Z}]'")
     return rows.mapInPandas(run, f"key {kind}, unit long, sim long, kind int, words string")

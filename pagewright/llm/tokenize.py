@@ -15,6 +15,7 @@ import base64
 from functools import cache
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -132,7 +133,7 @@ def token_ids(df: DataFrame, vocabulary: str | None = None, key: str = "doc_id",
         e = encoder(shared.value)
         for b in batches:
             out = b.drop(columns="text")
-            out["ids"] = [e.encode(t) if t else [] for t in b["text"]]
+            out["ids"] = [np.array(e.encode(t) if t else [], np.int32) for t in b["text"]]
             yield out
 
     short = rows.where(f"text is null or length(text) <= {leaf}").mapInPandas(encode, f"key {kind}, ids array<int>")
