@@ -90,7 +90,7 @@ def model() -> tuple[dict, list[dict[str, str]], np.ndarray]:
     maps: list[dict[str, str]] = []
     for s, pair in enumerate(PAIRS, 1):
         inverse = {}
-        for c in ALPHABET + OTHERS:
+        for c in ALPHABET + OTHERS + "¬":
             try:
                 g = garble(c, pair)
             except UnicodeError:
@@ -146,11 +146,15 @@ def clean(before: str, c: str, after: str) -> float:
     if c in LETTERS or c in "åø":
         return 1e-3 if before.isalpha() and not before.isascii() and before not in LETTERS else 0.06
     if c in ALPHABET and c.isalpha() or c in "ÅØ":
+        if before.isascii() and before.isupper() or after.isascii() and after.isupper():
+            return 0.03  # within a word in capitals
         return 1e-9 if before.islower() else 5e-3
     if c == "’":
         return 0.06
     if c == "¬":
-        return 0.05 if before.isalpha() and after in "\r\n" else RARE * 10
+        return 0.05 if before.isalpha() and after in "\r\n" else 0.01 if after in "\r\n" else RARE * 10
+    if c in "¼½¾²³¹°":
+        return 1e-3 if not before.isalpha() else 1e-8
     if c in SIGNS:
         if before.isalpha() and (c in "‚…·°€§£¡¿" or inner):
             return 1e-7

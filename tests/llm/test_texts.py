@@ -39,7 +39,7 @@ def test_a_garbled_passage_is_found_in_clean_text():
     assert encoding.repair(mixed)[0] == f"{FRENCH} {FRENCH} {FRENCH}"
 
 
-@pytest.mark.parametrize("text", [FRENCH, GERMAN, SPANISH, ITALIAN, "(проверка) (αρχείο) AÇÃO-3 Ångra", "Le ｒａｐｐｏｒｔ  ﬁn", "Pourquoi? Oui. Price 5 € · 7 °C", "сontrol lоcatif", "wher¬\neas", ""])
+@pytest.mark.parametrize("text", [FRENCH, GERMAN, SPANISH, ITALIAN, "(проверка) (αρχείο) AÇÃO-3 Ångra", "(AÇÃO-3) and (SÃO TALVO) and ÉTÉ", "1¼ cups of 5 m²", "Le ｒａｐｐｏｒｔ  ﬁn", "Pourquoi? Oui. Price 5 € · 7 °C", "сontrol lоcatif", "wher¬\neas", ""])
 def test_clean_text_is_left_alone(text):
     assert encoding.repair(text) == (text, [])
 
