@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,22 @@ def with_statistics(df: DataFrame, cleaned: str = "cleaned", original: str = "or
     )
 
 
+def savings(df: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keys, metric, before, after, gain: four rows of texts for people from the figures of each document."""
+
+    def row(metric: str, before: str, after: str, shown: Callable[[Column], Column]) -> Column:
+        gain = T.percent_less(F.col(after), F.col(before))
+        return F.struct(F.lit(metric).alias("metric"), shown(F.col(before)).alias("before"), shown(F.col(after)).alias("after"), gain.alias("gain"))
+
+    rows = F.array(
+        row("size", "original_size_bytes", "cleaned_size_bytes", T.size_text),
+        row("characters", "original_chars", "cleaned_chars", T.count_text),
+        row("tokens of the file", "tokens_input_estimated", "tokens_estimated", T.count_text),
+        row("tokens of the text", "tokens_original_estimated", "tokens_estimated", T.count_text),
+    )
+    return df.select(*keys, F.inline(rows))
+
+
 def recap(results: DataFrame) -> DataFrame:
     """One row: files, successes, sums before and after and gains to one decimal; failed files (error not null) count as zeros."""
 

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
@@ -204,3 +204,9 @@ def rollup(metrics: DataFrame) -> DataFrame:
         (F.col("chars_in") - F.col("chars_out")).alias("chars_removed"),
         T.percent_less(F.col("chars_out"), F.col("chars_in")).alias("reduction_percent"),
     )
+
+
+def shares(rolled: DataFrame) -> DataFrame:
+    """Adds to a rollup (a row for each step) the share of all removed characters, in percent to one decimal."""
+    total = F.sum("chars_removed").over(Window.partitionBy(F.lit(0)))  # over the few rows of a rollup
+    return rolled.withColumn("share_percent", F.when(total != 0, F.bround(F.col("chars_removed") / total * 100, 1)).otherwise(F.lit(0.0)))

@@ -112,6 +112,15 @@ def step_metrics_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return steps.rollup(step_metrics(spark, folder))
 
 
+@query(
+    _METRICS
+    + ", g AS (SELECT min(step_no) AS first_step, name, (sum(chars_in) - sum(chars_out))::BIGINT AS chars_removed FROM m GROUP BY name)"
+    " SELECT first_step, name, chars_removed, round_even(chars_removed::DOUBLE / (SELECT sum(chars_removed) FROM g) * 100, 1) AS share_percent FROM g"
+)
+def step_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return steps.shares(step_metrics_rollup(spark, folder)).select("first_step", "name", "chars_removed", "share_percent")
+
+
 _ONE = f"(SELECT doc_id, pos, CASE WHEN {sql.blank('content')} THEN '' ELSE content END AS content FROM one WHERE content IS NOT NULL)"
 
 
@@ -264,6 +273,17 @@ def reduction_stats(spark: SparkSession, folder: str) -> DataFrame:
     return figures(spark, folder)
 
 
+_SAVED = (
+    ("size", "original_size_bytes", "cleaned_size_bytes", sql.size_text), ("characters", "original_chars", "cleaned_chars", sql.count_text),
+    ("tokens of the file", "tokens_input_estimated", "tokens_estimated", sql.count_text), ("tokens of the text", "tokens_original_estimated", "tokens_estimated", sql.count_text),
+)
+
+
+@query(_FIGURES + " " + " UNION ALL ".join(f"SELECT doc_id, '{m}' AS metric, {shown(b)} AS before, {shown(a)} AS after, {sql.percent(a, b)} AS gain FROM f" for m, b, a, shown in _SAVED))
+def savings_table(spark: SparkSession, folder: str) -> DataFrame:
+    return stats.savings(figures(spark, folder))
+
+
 @query(
     _FIGURES
     + ", r AS (SELECT count(*) AS files, count(*) FILTER (WHERE doc_id % 11 <> 0) AS successes, count(*) FILTER (WHERE doc_id % 11 = 0) AS failures, "

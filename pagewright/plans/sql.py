@@ -172,3 +172,7 @@ def goes_on(before: str, text: str) -> str:
 def size_text(n: str, units: tuple[str, ...] = ("B", "KB", "MB", "GB", "TB")) -> str:
     arms = [f"WHEN {n} < {1024.0 ** (k + 1)} THEN printf('%.1f', round_even({n} / {1024.0**k}, 1)) || ' {u}'" for k, u in enumerate(units[:-1])]
     return f"CASE {' '.join(arms)} ELSE printf('%.1f', round_even({n} / {1024.0 ** (len(units) - 1)}, 1)) || ' {units[-1]}' END"
+
+
+def count_text(n: str) -> str:
+    return f"replace(format('{{:,}}', {n}), ',', ' ')"
