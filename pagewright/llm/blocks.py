@@ -34,6 +34,7 @@ PAGE_LINE = re.compile(r"\W*(?:(?:page|p|pag|seite|página|pagina|s)\b\.?)?\s*\d
 END = re.compile(r"[.!?][\"'»”“’)\]*_}]*\s*(?:<[^>]*>|\{\{[^}]*\}\}|~?\\cite\{[^}]*\}|\(\S{2,15}\)|\[\d+\])*\s*$")
 BREAK = re.compile(r"(?<=[.!?])[\"'»”’)\]*_}]*(?:<[^>\n]{1,60}>|~?\\cite\{[^}]*\})*\s+(?=[\"'«“„(\[*_\\{<¿¡ÂÃâ]*[A-ZÀ-ÞŒ])")
 INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
+SPACE_BREAK = re.compile(r" (?:(?<=[.!?] )|(?<=[.!?][\"'»”’)\]*_}] ))(?=\s*[\"'«“„(\[*_{<¿¡ÂÃâ]*[A-ZÀ-ÞŒ])")
 TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,200}>|<!--.*?-->", re.S)
 CELLS = re.compile(r"\||;|\t| {3,}|,(?=\S)|,$")
 PLAIN = re.compile(r"[A-Za-zÀ-ɏ][^|;\t\d{}<>\\=+/@^~*_%:•]*$")
@@ -86,19 +87,19 @@ def line_kind(line: str) -> str:
 
 
 def split_sentences(text: str) -> list[str]:
-    """Splits running text after . ! ? where a capital follows."""
-    return [x for x in BREAK.split(text) if x and x.strip()]
+    """Splits running text after . ! ? where a capital follows; the longer expression is for citations and doubled signs."""
+    parts = BREAK.split(text) if "\\" in text else SPACE_BREAK.split(text)
+    return [x for x in parts if x and not x.isspace()]
 
 
 def is_sentence(s: str, whole: bool = True) -> bool:
     """A sentence in its own right: a capital, an end and words that hold it together."""
+    if whole and not END.search(s, max(0, len(s) - 80)):
+        return False
     ws = WORD.findall(s)
     if len(ws) < 4 or stop_share(ws) < 0.12:
         return False
-    if not whole:
-        return True
-    head = ws[0]
-    return (head[0].isupper() or len(head) <= 2) and bool(END.search(s))
+    return not whole or ws[0][0].isupper() or len(ws[0]) <= 2
 
 
 def join_lines(lines: list[str]) -> str:

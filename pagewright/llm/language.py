@@ -55,13 +55,18 @@ class Model:
     scale: float
 
     def __post_init__(self):
-        self._memo: dict[str, np.ndarray] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self._row: dict[str, int] = {}
+        self._table = np.zeros((1024, self.weights.shape[1] + 1))
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """words x (languages + 1): presence matrix times weights, and the number of n-grams; the memo is bounded."""
-        if len(self._memo) > 300_000:
-            self._memo.clear()
-        missing = [w for w in dict.fromkeys(words) if w not in self._memo]
+        if len(self._row) > 300_000:
+            self._clear()
+        row = self._row
+        missing = [w for w in dict.fromkeys(words) if w not in row]
         if missing:
             rows, columns, sizes = [], [], []
             for i, w in enumerate(missing):
@@ -73,8 +78,12 @@ class Model:
             out = np.zeros((len(missing), self.weights.shape[1] + 1))
             np.add.at(out[:, :-1], rows, self.weights[columns])
             out[:, -1] = sizes
-            self._memo.update(zip(missing, out))
-        return np.array([self._memo[w] for w in words]) if words else np.zeros((0, self.weights.shape[1] + 1))
+            start = len(row)
+            if start + len(out) > len(self._table):
+                self._table = np.concatenate([self._table, np.zeros((max(len(self._table), len(out)), out.shape[1]))])
+            self._table[start : start + len(out)] = out
+            row.update(zip(missing, range(start, start + len(out))))
+        return self._table[np.fromiter((row[w] for w in words), np.int64, len(words))]
 
     def score(self, sentences: list[str]) -> np.ndarray:
         """sentences x languages."""
