@@ -6,6 +6,7 @@ and markup conversion (p7). Empty and null texts give no blocks.
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
 from typing import NamedTuple
@@ -41,6 +42,19 @@ PLAIN = re.compile(r"[A-Za-zÀ-ɏ][^|;\t\d{}<>\\=+/@^~*_%:•]*$")
 CODE = re.compile(r"[A-Za-z]{1,12}-?\d[\w.,/:-]*|\d[\w.,/:-]*|n/a")
 
 
+BLOCK_TAG = re.compile(r"<(/?)(p|div|h[1-6]|ul|ol|table|pre|blockquote|section|article|li|tr|td|th|br)\b[^<>\n]{0,200}>", re.I)
+
+
+def _line_mark(m: re.Match) -> str:
+    """What an element that stands on a line of its own leaves behind."""
+    closing, name = m.group(1), m.group(2).lower()
+    if name in ("td", "th"):
+        return " | "
+    if name == "br":
+        return "\n"
+    return "\n" if closing else "\n- " if name == "li" else "\n| " if name == "tr" else "\n\n"
+
+
 class Block(NamedTuple):
     """kind: prose, title, item, cells, toc, reference, page or junk; text in one line."""
 
@@ -99,7 +113,7 @@ def is_sentence(s: str, whole: bool = True) -> bool:
     ws = WORD.findall(s)
     if len(ws) < 4 or stop_share(ws) < 0.12:
         return False
-    return not whole or ws[0][0].isupper() or len(ws[0]) <= 2
+    return not whole or ws[0][0].isupper()
 
 
 def join_lines(lines: list[str]) -> str:
@@ -121,8 +135,10 @@ def parse(content: str | None) -> list[Block]:
     text = content.replace("\r\n", "\n").replace("\r", "\n")
     if not text.isascii():
         text = INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
+    if "&" in text:
+        text = html.unescape(text)
     if "<" in text:
-        text = TAG.sub(" ", text)
+        text = TAG.sub(" ", BLOCK_TAG.sub(_line_mark, text))
     blocks: list[Block] = []
     run: list[str] = []
 
