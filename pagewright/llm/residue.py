@@ -3,10 +3,11 @@
 Texts are read as units (sentences and lines of their own). Trusted labels come from fixed forms: a unit that is a
 message or filler is residue; a sentence that explains templates, variables or error codes is none. A document with
 an unfilled placeholder outside such a sentence is a case by itself. Residue is then spread over near-duplicates:
-SimHash tables partitioned by four bands of 16 bits find units within Hamming distance 3 of residue, the Jaccard
-similarity of five-word shingles (0.8) verifies them, and each round's new units are asked in the next one until none
-is added, which labels the connected components that hold trusted residue. Units are counted once for
-all their copies before tables are joined, so hot copies never meet each other.
+two units whose five-word shingles have a Jaccard similarity of 0.8 or more always share one of the first few shingles
+in the order of their hashes (prefix filtering), so a join on those misses no pair; the similarity itself verifies
+them, and each round's new units are asked in the next one until none is added, which labels the connected components
+that hold trusted residue. All numbers made of digits only count as one word. Units are counted once for all their
+copies before tables are joined, so hot copies never meet each other.
 
 Defined results: null, empty and blank texts are no case; a document given twice comes out once.
 """
@@ -25,7 +26,9 @@ from pagewright.llm.forms import _ODD, consistent
 from pagewright.session import checkpoint_folder, cut_lineage
 from pagewright.tables import table
 
-HAMMING, BANDS, SHINGLE, SIMILARITY = 3, 4, 5, 0.8
+SHINGLE, SIMILARITY = 5, 0.8
+#: A unit of n shingles shares one of its first n // PREFIX + 1 with every unit at SIMILARITY: n less 0.8 n rounded up, and one.
+PREFIX = 5
 
 _NAME = r"[^\W\d][\w.]{0,40}"
 # Words that fill a bracket in place of a value, in the five languages.
@@ -116,17 +119,27 @@ _HINTS = tuple(HINTS.split(";"))
 _SIGNS = ("{", "[", "<", "%", "@", "#", "__", "XX", "xx", "DD/", "DD.", "DD-", "JJ/", "TT.", "GG/", "MM/", "dd/", "dd.", "jj/", "tt.", "gg/", "mm/")
 
 
-def simhashes(features: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """64-bit SimHash of each group of so many features in a row."""
-    out = np.zeros(len(sizes), np.uint64)
-    ends = np.cumsum(sizes)
-    for i in range(0, len(sizes), 2000):  # bounds the memory of the bits
-        n = sizes[i : i + 2000]
-        first = int(ends[i] - sizes[i])
-        bits = np.unpackbits(features[first : int(ends[min(i + 2000, len(sizes)) - 1])].view(np.uint8).reshape(-1, 8), axis=1)
-        sums = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0, dtype=np.int32)
-        out[i : i + 2000] = np.packbits(sums * 2 > n[:, None], axis=1).view(np.uint64).ravel()
-    return out
+def prefixes(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For groups of so many word numbers in a row, the number of distinct shingles and the first of them in the order of
+    their hashes, cut to 32 bits; a unit of fewer than SHINGLE words is near no other and has none."""
+    n = np.maximum(sizes - SHINGLE + 1, 0)
+    ends = np.cumsum(n)
+    group = np.repeat(np.arange(len(sizes)), n)
+    at = np.arange(int(n.sum())) - np.repeat(ends - n, n) + np.repeat(np.cumsum(sizes) - sizes, n)
+    h = np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(SHINGLE):
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + codes[at + k])
+    order = np.lexsort((h, group))
+    h, group = h[order], group[order]
+    again = np.zeros(len(h), bool)
+    again[1:] = (h[1:] == h[:-1]) & (group[1:] == group[:-1])
+    h, group = h[~again], group[~again]
+    distinct = np.bincount(group, minlength=len(sizes))
+    rank = np.arange(len(h)) - np.repeat(np.cumsum(distinct) - distinct, distinct)
+    first = rank < (distinct // PREFIX + 1)[group]
+    kept = np.where(distinct > 0, distinct // PREFIX + 1, 0)
+    return distinct, np.split((h[first] >> np.uint64(32)).astype(np.uint32).view(np.int32), np.cumsum(kept)[:-1])
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -145,10 +158,10 @@ def word_codes(words: list[str]) -> np.ndarray:
 
 
 def jaccard(a: str, b: str) -> float:
-    """Similarity of the five-word shingles of two word lists, whole lists where they are shorter."""
+    """Similarity of the five-word shingles of two word lists, whole lists where they are shorter; numbers count as one word."""
 
     def shingles(t: str) -> set[tuple[str, ...]]:
-        w = t.split(" ")
+        w = ["0" if x.isdigit() else x for x in t.split(" ")]
         return {tuple(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))}
 
     x, y = shingles(a), shingles(b)
@@ -178,7 +191,7 @@ def labelled_units(text: str):
 
 
 def coded(rows: list[tuple], flat: list[str]) -> pd.DataFrame:
-    """Units with their number and SimHash. Features are the words with their left neighbour, so that order counts."""
+    """Units with their number, of words with their left neighbour, so that order counts, and the shingles they are found by."""
     out = pd.DataFrame(rows, columns=["key", "kind", "size", "words"])
     codes, sizes = word_codes(flat), out["size"].to_numpy()
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -187,12 +200,12 @@ def coded(rows: list[tuple], flat: list[str]) -> pd.DataFrame:
     with np.errstate(over="ignore"):
         pairs = mix(codes * np.uint64(0x9E3779B97F4A7C15) + left)
         out["unit"] = np.add.reduceat(mix(pairs + codes), starts).view(np.int64)
-    out["sim"] = simhashes(pairs, sizes).view(np.int64)
-    return out[["key", "unit", "sim", "kind", "words"]]
+    out["shingles"], out["prefix"] = prefixes(codes, sizes)
+    return out[["key", "unit", "shingles", "prefix", "kind", "words"]]
 
 
 def read_units(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, unit, sim, kind, words): the distinct units of each row; kind 3 marks a row with a placeholder, without a unit."""
+    """(key, unit, shingles, prefix, kind, words): the distinct units of each row; kind 3 marks a row with a placeholder, without a unit."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -210,13 +223,7 @@ def read_units(df: DataFrame, key: str, text: str) -> DataFrame:
             yield coded(rows, flat)
 
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(r"text rlike '[^\\s\\p{Z}]'")
-    return rows.mapInPandas(run, f"key {kind}, unit long, sim long, kind int, words string")
-
-
-def with_bands(df: DataFrame) -> DataFrame:
-    """One row for each of the tables: band number and value."""
-    values = F.array(*[F.shiftrightunsigned("sim", 16 * k).bitwiseAND(0xFFFF) for k in range(BANDS)])
-    return df.select("*", F.posexplode(values).alias("band", "value"))
+    return rows.mapInPandas(run, f"key {kind}, unit long, shingles int, prefix array<int>, kind int, words string")
 
 
 def residue_rows(df: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = 20) -> DataFrame:
@@ -228,30 +235,28 @@ def residue_rows(df: DataFrame, key: str = "doc_id", text: str = "text", rounds:
     path = f"{checkpoint_folder(spark)}/residue-{uuid.uuid4().hex}"
     read_units(df, key, text).write.option("compression", "zstd").parquet(path)
     told = spark.read.parquet(path)
-    each = told.where("kind < 3").groupBy("unit").agg(F.min("sim").alias("sim"), F.max("kind").alias("kind"))
-    sought = with_bands(each.where(f"kind = {OPEN}").select("unit", "sim"))
+    each = told.where("kind < 3").groupBy("unit").agg(F.max("kind").alias("kind"), *(F.first(c).alias(c) for c in ("shingles", "prefix")))
+    sought = each.where(f"kind = {OPEN}").select("unit", "shingles", F.explode("prefix").alias("first"))
 
     @F.pandas_udf("double")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([jaccard(x, y) for x, y in zip(a, b)], index=a.index, dtype=float)
 
-    def worded(which: DataFrame) -> DataFrame:
-        """unit, sim, words of those units."""
-        got = told.where("kind < 3").join(which.select("unit"), "unit", "left_semi")
-        return got.groupBy("unit").agg(F.min("sim").alias("sim"), F.min("words").alias("words"))
+    def once(rows: DataFrame) -> DataFrame:
+        """unit, shingles, prefix, words of those units."""
+        return rows.groupBy("unit").agg(*(F.first(c).alias(c) for c in ("shingles", "prefix")), F.min("words").alias("words"))
 
-    seeds = told.where(f"kind = {RESIDUE}").groupBy("unit").agg(F.min("sim").alias("sim"), F.min("words").alias("words"))
-    found = asked = cut_lineage(seeds)
+    found = asked = cut_lineage(once(told.where(f"kind = {RESIDUE}")))
     for _ in range(rounds):
-        near = with_bands(asked.select("sim").distinct().withColumnRenamed("sim", "near").select(F.col("near").alias("sim"))).withColumnRenamed("sim", "near")
-        pairs = sought.join(near, ["band", "value"]).where(F.bit_count(F.col("sim").bitwiseXOR(F.col("near"))) <= HAMMING)
+        near = asked.select(F.col("unit").alias("near"), F.col("shingles").alias("near_shingles"), F.explode("prefix").alias("first"))
+        pairs = sought.join(near, "first").where("5 * least(shingles, near_shingles) >= 4 * greatest(shingles, near_shingles)")
         pairs = cut_lineage(pairs.select("unit", "near").distinct().join(found.select("unit"), "unit", "left_anti"))
         if pairs.isEmpty():
             break
-        texts = worded(pairs.select("unit").distinct())
-        by = asked.select(F.col("sim").alias("near"), F.col("words").alias("near_words"))
+        texts = once(told.where("kind < 3").join(pairs.select("unit").distinct(), "unit", "left_semi"))
+        by = asked.select(F.col("unit").alias("near"), F.col("words").alias("near_words"))
         new = texts.join(pairs, "unit").join(by, "near").where(similar("words", "near_words") >= SIMILARITY)
-        asked = cut_lineage(new.groupBy("unit").agg(F.min("sim").alias("sim"), F.min("words").alias("words")))
+        asked = cut_lineage(new.select("unit", "shingles", "prefix", "words").dropDuplicates(["unit"]))
         if asked.isEmpty():
             break
         found = cut_lineage(found.unionByName(asked))

@@ -235,3 +235,35 @@ def test_residue_spreads_to_near_duplicates_only(spark):
     assert [x for x in got if x != 6] == [0, 2, 4, 5]
     assert residue.residue_rows(df.limit(0)).count() == 0
     assert residue.jaccard("a b c d e f", "a b c d e f") == 1 and residue.jaccard("a b", "a c") == 0
+
+
+@pytest.mark.parametrize("length", [15, 20, 30, 60])
+def test_near_duplicates_of_residue_are_all_found(spark, length):
+    """Each text differs by one word from the one before and holds no fixed form itself."""
+    r = random.Random(length)
+    texts = []
+    for _ in range(12):
+        words = ["blindtext", *(f"w{r.randrange(10**9)}" for _ in range(length - 1))]
+        texts.append(" ".join(words))
+        for k in (0, -1, 1 if length > 40 else -1):
+            words[k] = f"v{r.randrange(10**9)}"
+            texts.append(" ".join(words))
+    assert all(residue.jaccard(a, b) >= residue.SIMILARITY for a, b in zip(texts, texts[1:]) if "blindtext" not in b)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, ENGLISH])], "doc_id long, text string")
+    assert sorted(r.doc_id for r in residue.residue_rows(df).collect()) == list(range(len(texts)))
+
+
+def test_prefixes_miss_no_pair():
+    r = random.Random(1)
+    tried = 0
+    for _ in range(600):
+        a = [f"w{r.randrange(10**9)}" for _ in range(r.randrange(5, 80))]
+        b = list(a)
+        for _ in range(r.randrange(1, 3)):
+            k = r.choice([0, len(b) - 1, r.randrange(len(b))])
+            b[k : k + r.randrange(2)] = [f"v{r.randrange(10**9)}"]
+        if residue.jaccard(" ".join(a), " ".join(b)) >= residue.SIMILARITY:
+            tried += 1
+            _, (x, y) = residue.prefixes(residue.word_codes(a + b), residue.np.array([len(a), len(b)]))
+            assert set(x.tolist()) & set(y.tolist())
+    assert tried > 100
