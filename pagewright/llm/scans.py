@@ -107,7 +107,7 @@ class Lexicon:
     def decode(self, pieces: list[tuple[str, str]]) -> list[tuple[str, str]]:
         """Segments a stream of (characters, separator) pieces into words: Viterbi over the pieces.
 
-        A word spans one piece, or two over a hyphen and line end ('-') or a blank (' '); a piece may also be two words. Gives
+        A word spans one piece, or two over a hyphen and line end ('-'), a blank (' ') or a line end ('\n'); a piece may also be two words. Gives
         (word, operations), operations out of h (hyphen), m (merge), s (split), c (confusion).
         """
         n = len(pieces)
@@ -124,7 +124,7 @@ class Lexicon:
                     a, b = self.cost(text[:k]), self.cost(text[k:])
                     if a is not None and b is not None:
                         options.append((a + b + SPLIT, [(text[:k], "s"), (text[k:], "")], i + 1))
-            if i + 1 < n and sep in "- ":
+            if i + 1 < n and sep and sep in "- \n":
                 w, c, changed = self.read(text + pieces[i + 1][0])
                 known = w in self.counts
                 if sep == "-":
@@ -176,6 +176,61 @@ def halves(text: str, m: re.Match) -> tuple[str, str]:
     return text[i:end], WORD.match(text, m.end()).group()
 
 
+_GAP = r"(?:(?P<hyphen>┬?[-¬=\xad‐]¨? ?\r?\n\s*(?=[a-zß-ÿœ]))|(?P<blank> +)|(?P<line>[ \t]*\r?\n[ \t]*))"
+_RIGHT = re.compile(_GAP + r"(?P<word>[^\W\d_]+)(?![\w@!|$])")
+_LEFT = re.compile(r"(?<![\w@!|$'’])(?P<word>[^\W\d_]+)" + _GAP + r"\Z")
+_SEPARATORS = {"hyphen": "-", "blank": " ", "line": "\n"}
+
+
+def stream_operations(text: str, lexicon: Lexicon) -> list[tuple[int, int, str, str]]:
+    """(start, end, words, operations) where decoding the stream of a text joins, splits or changes pieces.
+
+    Between two words of the lexicon without a hyphen nothing is joined, so the stream falls apart there: decoding each
+    run of other pieces with one known neighbour on either side gives what decoding the whole text gives. A line end in
+    a joined word is told by n among the operations.
+    """
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+    counts = lexicon.counts
+    out, at = [], {}
+    for w in set(WORD.findall(low)).difference(counts):
+        i = low.find(w)
+        while i >= 0:
+            j = i + len(w)
+            if not (i and (low[i - 1].isalnum() or low[i - 1] in "_@!|$")) and not (j < len(low) and (low[j].isalnum() or low[j] in "_@!|$")):
+                at[i] = j
+            i = low.find(w, j)
+    done = -1
+    for i in sorted(at):
+        if i < done:
+            continue
+        spans, seps = [(i, at[i])], []
+        m = _LEFT.search(low, max(0, i - 60), i)
+        if m and m.start() >= done:
+            spans.insert(0, m.span("word"))
+            seps.append(_SEPARATORS[m.lastgroup])
+        while spans[-1][0] in at:
+            m = _RIGHT.match(low, spans[-1][1])
+            if not m:
+                break
+            seps.append(next(_SEPARATORS[k] for k in _SEPARATORS if m.group(k) is not None))
+            spans.append(m.span("word"))
+        done = spans[-1][1] if spans[-1][0] in at else spans[-1][0]
+        k = 0
+        for word, ops in lexicon.decode([(low[a:b], sep) for (a, b), sep in zip(spans, [*seps, ""])]):
+            if "s" in ops:
+                out.append((*spans[k], word, "s"))
+                continue
+            if out and out[-1][3] == "s" and out[-1][:2] == spans[k]:
+                out[-1] = (*spans[k], f"{out[-1][2]} {word}", "split")
+            elif ops and ops != "c":
+                out.append((spans[k][0], spans[k + 1][1], word, ops + "n" * (seps[k] == "\n")))
+                k += 1
+            k += 1
+    return out
+
+
 def has_break(text: str, lexicon: Lexicon) -> bool:
     """Whether decoding joins the halves of a word over a line end; a word may also be broken at the end of the text."""
     end = text.rstrip()
@@ -257,12 +312,12 @@ SEPARATOR = "\x1f"
 ALIKE, RECURS = 0.72, 3
 
 
-def running_titles(rows: list[tuple[int, int, str, str]]) -> set[int]:
-    """Positions of the sections with a running title, given (pos, place, key, line beside it) of one document.
+def running_titles(rows: list[tuple[int, int, str, str]]) -> set[tuple[int, int]]:
+    """(pos, place) of the running titles, given (pos, place, key, line beside it) of one document.
 
     Keys are grouped around the most frequent ones; a group whose neighbours recur as well is repeated text (p6).
     """
-    found: set[int] = set()
+    found: set[tuple[int, int]] = set()
     if len({p for p, *_ in rows}) < RECURS:
         return found
     keys = Counter(k for _, _, k, _ in rows)
@@ -275,7 +330,7 @@ def running_titles(rows: list[tuple[int, int, str, str]]) -> set[int]:
         if len({r[0] for r in own}) >= RECURS:
             beside = Counter(r[3] for r in own)
             if len(beside) * 2 > len(own):
-                found |= {r[0] for r in own}
+                found |= {(r[0], r[1]) for r in own}
                 for x in near:
                     left.pop(x, None)
                 continue
@@ -327,37 +382,28 @@ def repair(text: str | None, lexicon: Lexicon, titles: frozenset[str] = frozense
 
 def paragraphs(lines: list[str], lexicon: Lexicon) -> list[str]:
     """Joins lines into paragraphs at least cost: a boundary costs 3, a missing one what the line end and the next start say."""
-    rows = [x for x in lines]
-    texts = [x.strip() for x in rows if x.strip()]
+    texts = [x.strip() for x in lines if x.strip()]
     if not texts:
         return []
     blank_before, seen = [], True
-    for x in rows:
+    for x in lines:
         if not x.strip():
             seen = True
             continue
         blank_before.append(seen)
         seen = False
     width = max(len(x) for x in texts)
-    best = [0.0] + [math.inf] * len(texts)
-    start = [0] * (len(texts) + 1)
-    for j in range(1, len(texts) + 1):
-        cost = 0.0
-        for i in range(j - 1, max(-1, j - 60), -1):
-            if i < j - 1:
-                a, b = texts[i], texts[i + 1]
-                cost += 8.0 * blank_before[i + 1] + 4.0 * (a[-1] in ".!?:" and (b[:1].isupper() or not b[:1].isalnum()) and len(a) < 0.7 * width)
-                cost += 6.0 * (blocks.line_kind(b) not in ("text",) and not b[:1].islower())
-            else:
-                cost += 3.0
-            if best[i] + cost < best[j]:
-                best[j], start[j] = best[i] + cost, i
-    out: list[str] = []
-    j = len(texts)
-    while j:
-        out.append(_flow(texts[start[j] : j], lexicon))
-        j = start[j]
-    return out[::-1]
+    # What a line end costs doesn't hang on the others, so the least sum is the least at each.
+    groups = [[texts[0]]]
+    for k in range(1, len(texts)):
+        a, b = texts[k - 1], texts[k]
+        missing = 8.0 * blank_before[k] + 4.0 * (a[-1] in ".!?:" and (b[:1].isupper() or not b[:1].isalnum()) and len(a) < 0.7 * width)
+        missing += 6.0 * (blocks.line_kind(b) not in ("text",) and not b[:1].islower())
+        if missing < 3.0:
+            groups[-1].append(b)
+        else:
+            groups.append([b])
+    return [_flow(g, lexicon) for g in groups]
 
 
 def _flow(lines: list[str], lexicon: Lexicon) -> str:
@@ -368,7 +414,11 @@ def _flow(lines: list[str], lexicon: Lexicon) -> str:
         got = lexicon.decode([(a.lower(), "-"), (b.lower(), "")])
         return "" if any("h" in ops for _, ops in got) else "-"
 
-    text = BREAK.sub(join, text).replace("\n", " ")
+    text = BREAK.sub(join, text)
+    for i, j, w, _ in reversed(stream_operations(text, lexicon)):
+        old = text[i:j]
+        text = text[:i] + (w.upper() if old.isupper() and len(old) > 1 else w[:1].upper() + w[1:] if old[:1].isupper() else w) + text[j:]
+    text = text.replace("\n", " ")
 
     def word(m: re.Match) -> str:
         t = m.group()
@@ -381,7 +431,8 @@ def _flow(lines: list[str], lexicon: Lexicon) -> str:
 
 
 def scan_noise(df: DataFrame, lexicon: Lexicon, text: str = "content", keys: tuple[str, str] = ("doc_id", "pos")) -> DataFrame:
-    """keys, broken, misread, page_number, running_title of the rows with any of them, once each.
+    """keys, broken, misread, page_number, running_title of the rows with any of them, once each; title_places is 1 for the
+    first line, 2 for the last, 3 for both.
 
     Texts aren't shuffled; only the outer lines that may be titles are grouped by document. The lexicon (at most
     1 / SHARE words) is sent to the executors.
@@ -399,7 +450,8 @@ def scan_noise(df: DataFrame, lexicon: Lexicon, text: str = "content", keys: tup
                 if t.isspace() or not t:
                     continue
                 lines = lines_of(t)
-                flags = 4 * has_break(t, lex) + 2 * has_misread(t, lex) + has_page_line(lines)
+                joined = any("h" in o or "n" in o for *_, o in stream_operations(t, lex))
+                flags = 4 * (joined or has_break(t, lex)) + 2 * has_misread(t, lex) + has_page_line(lines)
                 outer = outer_lines(t)
                 if flags or outer:
                     fields = [str(p), str(flags), *(x for place, key, beside in outer for x in (str(place), key, beside.replace(SEPARATOR, " ")))]
@@ -418,16 +470,36 @@ def scan_noise(df: DataFrame, lexicon: Lexicon, text: str = "content", keys: tup
                 outer = {(p, int(f[k]), f[k + 1], f[k + 2]) for p, f in once.items() for k in range(1, len(f), 3)}
                 titled = running_titles(sorted(outer))
                 for p, f in once.items():
-                    flags = int(f[0])
-                    if flags or p in titled:
-                        out.append((d, p, flags & 4 > 0, flags & 2 > 0, flags & 1 > 0, p in titled))
+                    flags, places = int(f[0]), sum(1 << k for k in (0, 1) if (p, k) in titled)
+                    if flags or places:
+                        out.append((d, p, flags & 4 > 0, flags & 2 > 0, flags & 1 > 0, places > 0, places))
             if out:
-                yield pd.DataFrame(out, columns=["doc", "pos", "broken", "misread", "page_number", "running_title"])
+                yield pd.DataFrame(out, columns=["doc", "pos", "broken", "misread", "page_number", "running_title", "title_places"])
 
-    found = listed.mapInPandas(titles, kinds + ", broken boolean, misread boolean, page_number boolean, running_title boolean")
+    found = listed.mapInPandas(titles, kinds + ", broken boolean, misread boolean, page_number boolean, running_title boolean, title_places int")
     return found.withColumnRenamed("doc", doc).withColumnRenamed("pos", pos)
 
 
+def repaired_rows(df: DataFrame, lexicon: Lexicon, text: str = "content", keys: tuple[str, str] = ("doc_id", "pos")) -> DataFrame:
+    """keys, the flags of scan_noise (null where none) and the repaired text of every row, once each."""
+    shared = df.sparkSession.sparkContext.broadcast((lexicon.counts, lexicon.compounds, lexicon.total))
+    loaded: list[Lexicon] = []
+
+    @F.pandas_udf("string")
+    def repaired(texts: pd.Series, places: pd.Series) -> pd.Series:
+        if not loaded:
+            loaded.append(Lexicon(*shared.value))
+        out = []
+        for t, p in zip(texts, places):
+            titles = frozenset(key for place, key, _ in outer_lines(t) if int(p) >> place & 1) if t and p else frozenset()
+            out.append(repair(t, loaded[0], titles))
+        return pd.Series(out, index=texts.index, dtype=object)
+
+    noise = scan_noise(df, lexicon, text, keys)
+    rows = df.select(*keys, F.col(text).alias("given")).dropDuplicates(list(keys)).join(noise, list(keys), "left")
+    return rows.withColumn("repaired", repaired("given", F.coalesce("title_places", F.lit(0)))).drop("given", "title_places")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, pos) of the sections with broken or misread words, running titles or page numbers."""
     sections = table(spark, folder, "sections")

@@ -213,6 +213,37 @@ def test_scan_noise(spark):
     assert scans.scan_noise(df.limit(0), scans.build_lexicon(df.limit(0))).count() == 0
 
 
+def test_the_whole_stream_is_decoded():
+    lex = lexicon()
+    text = "The ser vice of\nthecrew is mod\nern in the cold area."
+    assert [(text[i:j], w, o) for i, j, w, o in scans.stream_operations(text, lex)] == [("ser vice", "service", "m"), ("thecrew", "the crew", "split"), ("mod\nern", "modern", "mn")]
+    assert scans.repair(text, lex) == "The service of the crew is modern in the cold area."
+    assert scans.stream_operations("The crew checks, 5 K3B in the area.", lex) == []
+    long = [f"the crew checks the valve in the cold area {'abc'[i % 3]}" for i in range(150)]
+    assert scans.repair("\n".join(long), lex) == " ".join(long)
+
+
+def test_windows_give_what_the_whole_stream_gives():
+    lex, r = lexicon(), random.Random(4)
+    for _ in range(200):
+        pieces = [r.choice(["ser", "vice", "thecrew", "the", "crew", "mod", "ern", "sous", "sol", "cold", "xqz", "area"]) for _ in range(12)]
+        seps = [r.choice([" ", " ", "\n"]) for _ in range(11)] + [""]
+        whole = [w for w, _ in lex.decode(list(zip(pieces, seps)))]
+        text = "".join(a + b for a, b in zip(pieces, seps))
+        for i, j, w, _ in reversed(scans.stream_operations(text, lex)):
+            text = text[:i] + w + text[j:]
+        assert text.split() == whole
+
+
+def test_repaired_rows(spark):
+    titles = ["The report of the design office    1", "THE REPORT OF THE DESIGN OFFICE - p. 2", "The rep0rt of the design offlce | 3"]
+    rows = [(1, i, f"{t}\nThe crew of part {i} checks the serv-\nice {'abc'[i]} now.") for i, t in enumerate(titles)] + [(2, 0, "The mod\nern service."), (2, 0, "The mod\nern service."), (3, 0, None), (4, 0, "Fine.")]
+    df = spark.createDataFrame(rows, "doc_id long, pos int, content string")
+    got = {r.doc_id * 10 + r.pos: r for r in scans.repaired_rows(df, lexicon()).collect()}
+    assert {k: r.repaired for k, r in got.items()} == {**{10 + i: f"The crew of part {i} checks the service {'abc'[i]} now." for i in range(3)}, 20: "The modern service.", 30: None, 40: "Fine."}
+    assert got[20].broken and got[40].broken is None
+
+
 # p10
 
 
