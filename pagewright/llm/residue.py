@@ -116,7 +116,8 @@ HINTS = (
     ";relleno;riempimento;dummy text;coming soon"
 )
 _HINTS = tuple(HINTS.split(";"))
-_SIGNS = ("{", "[", "<", "%", "@", "#", "__", "XX", "xx", "DD/", "DD.", "DD-", "JJ/", "TT.", "GG/", "MM/", "dd/", "dd.", "jj/", "tt.", "gg/", "mm/")
+# What every placeholder holds, a sign or the middle of a date between two equal signs.
+_SIGNS = ("{", "[", "<", "%", "@", "#", "__", *(f"{x}{m}{x}" for x in "/.-" for m in ("xx", "mm", "dd")))
 
 
 def prefixes(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -177,7 +178,7 @@ def labelled_units(text: str):
     if not text.isascii() and _ODD.search(text):
         text = consistent(text)
     low = text.lower()
-    hint, sign = any(x in low for x in _HINTS), any(x in text for x in _SIGNS)
+    hint, sign = any(x in low for x in _HINTS), any(x in low for x in _SIGNS)
     for u in units(text):
         words = WORD.findall(u.lower())
         if not words:

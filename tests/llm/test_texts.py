@@ -298,3 +298,13 @@ def test_prefixes_miss_no_pair():
             _, (x, y) = residue.prefixes(residue.word_codes(a + b), residue.np.array([len(a), len(b)]))
             assert set(x.tolist()) & set(y.tolist())
     assert tried > 100
+
+
+@pytest.mark.parametrize("first", ["XX", "DD", "JJ", "TT", "MM", "GG"])
+def test_date_placeholders_pass_the_gate(first):
+    for sign in "/.-":
+        for middle in ("XX", "MM", "DD"):
+            for last in ("XXXX", "YYYY", "AAAA", "JJJJ", "YY"):
+                date = sign.join((first, middle, last))
+                for text in (f"vom {date} an", f"vom {date.lower()} an", f"vom {date.title()} an"):
+                    assert residue.has_placeholder(text) and [k for k, _ in residue.labelled_units(text)] == [3], text
