@@ -1,10 +1,10 @@
 """Problem 1: language of each sentence, segment and document, with a confidence.
 
-A string kernel compares texts by the n-grams of N_GRAMS characters inside their words (word ends included), an
-n-gram counting once for each distinct word that holds it. Nyström landmarks stand for the training sentences, kernel
-ridge regression separates each language from the rest. The kernel is linear in the words of the text to be
-classified, so landmarks and weights fold into one matrix (n-grams x languages): a batch is scored by the product of its
-distinct words' presence matrix with that one, and the product of the sentences' presence matrix with the result.
+A string kernel compares texts by the presence of n-grams of N_GRAMS characters inside their words (word ends
+included): an n-gram counts once for a text, by how rare it is, and texts are normed. Nyström landmarks stand for the
+training sentences, kernel ridge regression separates each language from the rest. The kernel is linear in the presence
+vector of the text to be classified, so landmarks and weights fold into one matrix (n-grams x languages): each block of
+sentences is scored by one product of its presence matrix with that one.
 
 Defined results: null, empty and blank texts have no segments; a sentence without any known n-gram has confidence 0
 and the first language; headings, list items and table cells are no sentences.
@@ -13,12 +13,13 @@ and the first language; headings, list items and table cells are no sentences.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm import blocks
@@ -28,7 +29,10 @@ LANGUAGES = ("en", "fr", "de", "es", "it")
 N_GRAMS = (1, 2, 3, 4)
 #: Bounds of the sample that the classifier is fitted on: documents per language, sections in all, sentences per language.
 SAMPLE_DOCUMENTS, SAMPLE_SECTIONS, SAMPLE_SENTENCES = 120, 4000, 600
-LANDMARKS = 120
+#: Landmarks of each language, the first of its sample; an n-gram belongs to the index if so many landmarks hold it.
+LANDMARKS, LEAST_LANDMARKS = 120, 2
+#: Texts of one matrix product.
+BLOCK = 256
 RIDGE = 1e-2
 # Codes of the languages as labels spell them, in lower case and without a region.
 CODES = {
@@ -48,95 +52,120 @@ def grams(word: str) -> set[str]:
     return {w[i : i + n] for n in N_GRAMS for i in range(len(w) - n + 1)}
 
 
-@dataclass
-class Model:
-    index: dict[str, int]
-    weights: np.ndarray  # n-grams x languages
-    scale: float
+def distinct_words(text: str) -> set[str]:
+    return set(blocks.WORD.findall(text.lower()))
 
-    def __post_init__(self):
+
+class Presence:
+    """Rows of 0 and 1, texts x n-grams of an index, in blocks of BLOCK texts; the memo of words is bounded."""
+
+    def __init__(self, index: dict[str, int]):
+        self.index = index
+        self._block = np.zeros((BLOCK, len(index)), np.float32)
         self._clear()
 
     def _clear(self) -> None:
-        self._row: dict[str, int] = {}
-        self._table = np.zeros((1024, self.weights.shape[1] + 1))
-
-    def word_scores(self, words: list[str]) -> np.ndarray:
-        """words x (languages + 1): presence matrix times weights, and the number of n-grams; the memo is bounded."""
-        if len(self._row) > 300_000:
-            self._clear()
-        row = self._row
-        missing = [w for w in dict.fromkeys(words) if w not in row]
-        if missing:
-            rows, columns, sizes = [], [], []
-            for i, w in enumerate(missing):
-                g = grams(w)
-                sizes.append(len(g))
-                c = [k for x in g if (k := self.index.get(x)) is not None]
-                rows += [i] * len(c)
-                columns += c
-            out = np.zeros((len(missing), self.weights.shape[1] + 1))
-            np.add.at(out[:, :-1], rows, self.weights[columns])
-            out[:, -1] = sizes
-            start = len(row)
-            if start + len(out) > len(self._table):
-                self._table = np.concatenate([self._table, np.zeros((max(len(self._table), len(out)), out.shape[1]))])
-            self._table[start : start + len(out)] = out
-            row.update(zip(missing, range(start, start + len(out))))
-        return self._table[np.fromiter((row[w] for w in words), np.int64, len(words))]
+        self._slot: dict[str, int] = {}
+        self._starts, self._sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self._columns, self._used = np.zeros(1 << 15, np.int64), 0
+
+    def _learn(self, words: list[str]) -> None:
+        for w in words:
+            own = [k for g in grams(w) if (k := self.index.get(g)) is not None]
+            if self._used + len(own) > len(self._columns):
+                self._columns = np.concatenate([self._columns, np.zeros(max(len(own), len(self._columns)), np.int64)])
+            if len(self._slot) == len(self._starts):
+                self._starts, self._sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self._starts, self._sizes))
+            self._columns[self._used : self._used + len(own)] = own
+            self._starts[len(self._slot)], self._sizes[len(self._slot)] = self._used, len(own)
+            self._slot[w] = len(self._slot)
+            self._used += len(own)
+
+    def blocks(self, texts: list[str]):
+        """(number of the first text, presence matrix) of each block; the matrix is only good until the next one."""
+        for first in range(0, len(texts), BLOCK):
+            words, counts = [], []
+            for t in texts[first : first + BLOCK]:
+                own = distinct_words(t)
+                words += own
+                counts.append(len(own))
+            if len(self._slot) > 200_000:
+                self._clear()
+            self._learn([w for w in dict.fromkeys(words) if w not in self._slot])
+            slots = np.fromiter((self._slot[w] for w in words), np.int64, len(words))
+            sizes = self._sizes[slots]
+            ends = np.cumsum(sizes)
+            places = np.repeat(self._starts[slots] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+            rows = np.repeat(np.repeat(np.arange(len(counts)), counts), sizes)
+            cells = rows * len(self.index) + self._columns[places]
+            flat = self._block.reshape(-1)
+            flat[cells] = 1
+            yield first, self._block[: len(counts)]
+            flat[cells] = 0
+
+
+@dataclass
+class Model:
+    """weights: n-grams x (languages and one column for the texts' norms)."""
+
+    index: dict[str, int]
+    weights: np.ndarray
+    scale: float
 
     def score(self, sentences: list[str]) -> np.ndarray:
-        """sentences x languages."""
-        words, begins = [], []
-        for s in sentences:
-            begins.append(len(words))
-            words += set(blocks.WORD.findall(s.lower())) or {""}
-        if not sentences:
-            return np.zeros((0, len(LANGUAGES)))
-        sums = np.add.reduceat(self.word_scores(words), begins)
-        return sums[:, :-1] / np.maximum(sums[:, -1:], 1)
+        """sentences x languages: one matrix product for each block of sentences."""
+        if not hasattr(self, "_presence"):
+            self._presence = Presence(self.index)
+        out = np.zeros((len(sentences), len(LANGUAGES)), np.float32)
+        for first, present in self._presence.blocks(sentences):
+            got = present @ self.weights
+            out[first : first + len(got)] = got[:, :-1] / np.sqrt(np.maximum(got[:, -1:], 1e-6))
+        return out
 
     def classify(self, sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Language numbers and confidences, 0 where the two best scores are equal, towards 1 where they are far apart."""
         s = self.score(sentences)
         order = np.sort(s, axis=1)
-        return s.argmax(1), np.tanh((order[:, -1] - order[:, -2]) / self.scale)
+        return s.argmax(1), np.tanh((order[:, -1] - order[:, -2]) / self.scale).astype(float)
+
+    def __getstate__(self):
+        return {"index": self.index, "weights": self.weights, "scale": self.scale}
 
 
 def fit(sentences: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Kernel ridge regression on landmarks, one language against the rest; sentences that a first fit calls wrong are left out of the second."""
+    """Kernel ridge regression on landmarks, one language against the rest; sentences that a first fit calls wrong are left out of the second.
+
+    Kernel values come block by block; nothing of the size texts x n-grams is ever held.
+    """
     y = np.array([LANGUAGES.index(x) for x in labels])
-    texts = [Counter(g for w in set(blocks.WORD.findall(s.lower())) for g in grams(w)) for s in sentences]
     marks = [i for k in range(len(LANGUAGES)) for i in np.flatnonzero(y == k)[:landmarks]]
-    index: dict[str, int] = {}
-    for i in marks:
-        for g in texts[i]:
-            index.setdefault(g, len(index))
-    phi = np.zeros((len(texts), len(index)))
-    for i, t in enumerate(texts):
-        for g, n in t.items():
-            if g in index:
-                phi[i, index[g]] = n
-        phi[i] /= max(1, t.total())
-    rare = np.log(len(texts) / np.maximum(1, (phi > 0).sum(0)))  # n-grams that any text has tell little
+    found = Counter(g for i in marks for g in {g for w in distinct_words(sentences[i]) for g in grams(w)})
+    index = {g: k for k, g in enumerate(sorted(g for g, n in found.items() if n >= LEAST_LANDMARKS))}
+    presence = Presence(index)
+    texts_with = np.zeros(len(index))
+    for _, present in presence.blocks(sentences):
+        texts_with += present.sum(0)
+    rare = np.log(max(2, len(sentences)) / np.maximum(1, texts_with)).astype(np.float32)  # n-grams that any text has tell little
     model = None
-    keep = np.ones(len(texts), bool)
+    keep = np.ones(len(sentences), bool)
     for _ in range(2):
         own = [i for i in marks if keep[i]]
-        basis = phi[own] * rare
-        norms = np.linalg.norm(basis, axis=1, keepdims=True)
-        basis /= np.maximum(norms, 1e-12)
-        kernel = basis @ basis.T
-        values, vectors = np.linalg.eigh(kernel)
-        good = values > 1e-8
+        basis = np.zeros((len(own), len(index)), np.float32)
+        for first, present in presence.blocks([sentences[i] for i in own]):
+            basis[first : first + len(present)] = present * rare
+        basis /= np.maximum(np.linalg.norm(basis, axis=1, keepdims=True), 1e-6)
+        values, vectors = np.linalg.eigh((basis @ basis.T).astype(float))
+        good = values > 1e-6
         root = vectors[:, good] / np.sqrt(values[good])
-        z = (phi[keep] * rare) @ basis.T @ root
-        size = np.linalg.norm(z, axis=1).mean() or 1.0
-        z /= size
-        target = np.where(y[keep, None] == np.arange(len(LANGUAGES)), 1.0, -1.0)
-        w = np.linalg.solve(z.T @ z + ridge * len(z) * np.eye(z.shape[1]), z.T @ target)
-        weights = (basis.T @ (root @ w) / size) * rare[:, None]
-        model = Model(index, weights, 1.0)
+        kept = np.flatnonzero(keep)
+        gram, right = ridge * len(kept) * np.eye(root.shape[1]), np.zeros((root.shape[1], len(LANGUAGES)))
+        for first, present in presence.blocks([sentences[i] for i in kept]):
+            rows = present * rare
+            z = (rows @ basis.T / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-6)).astype(float) @ root
+            gram += z.T @ z
+            right += z.T @ np.where(y[kept[first : first + len(z)], None] == np.arange(len(LANGUAGES)), 1.0, -1.0)
+        folded = basis.T @ (root @ np.linalg.solve(gram, right)).astype(np.float32)
+        model = Model(index, np.concatenate([folded * rare[:, None], (rare**2)[:, None]], axis=1), 1.0)
         keep = model.score(sentences).argmax(1) == y
     s = np.sort(model.score([x for x, k in zip(sentences, keep) if k]), axis=1)
     model.scale = float(np.median(s[:, -1] - s[:, -2])) / 2 or 1.0
@@ -149,27 +178,27 @@ def sentences_of(content: str | None) -> list[str]:
 
 
 def labelled_sample(sections: DataFrame, documents: DataFrame) -> tuple[list[str], list[str]]:
-    """Sentences and labels of sections whose document declares one language: SAMPLE_DOCUMENTS documents of each language, the first in the order of a hash of their id."""
-    labels = [r.language for r in documents.select("language").distinct().limit(10_000).collect()]
-    single = {x: d[0] for x in labels if len(d := declared(x)) == 1}
-    chosen: dict[int, str] = {}
-    for lang in LANGUAGES:
-        own = [x for x, k in single.items() if k == lang]
-        docs = documents.where(F.col("language").isin(own)).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS)
-        chosen |= {r.doc_id: lang for r in docs.collect()}
-    got = (
-        sections.where(F.col("doc_id").isin(list(chosen)) & F.col("pos").between(0, 9) & F.col("content").isNotNull())
-        .select("doc_id", "pos", "content")
-        .distinct()
-        .limit(SAMPLE_SECTIONS)
-        .collect()
-    )
-    found: dict[str, list[str]] = {k: [] for k in LANGUAGES}
-    for r in sorted(got, key=lambda r: (r.pos, r.doc_id)):
-        lang = chosen[r.doc_id]
-        if len(found[lang]) < SAMPLE_SENTENCES:
-            found[lang] += sentences_of(r.content)[:6]
-    return [s for k in LANGUAGES for s in found[k]], [k for k in LANGUAGES for _ in found[k]]
+    """Sentences and labels of sections whose document declares one language, in one job.
+
+    Of each language SAMPLE_DOCUMENTS documents, of those SAMPLE_SECTIONS sections, of their sentences SAMPLE_SENTENCES for
+    each language, each time the first in the order of a hash, so that the sample is the same whatever the partitions.
+    """
+
+    @F.pandas_udf("string")
+    def only(label: pd.Series) -> pd.Series:
+        known = {x: d[0] if len(d := declared(x)) == 1 else None for x in label.unique()}
+        return label.map(known.get)
+
+    first = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = documents.select("doc_id", only("language").alias("label")).where("label is not null").withColumn("place", F.row_number().over(first))
+    chosen = chosen.where(F.col("place") <= SAMPLE_DOCUMENTS).groupBy("doc_id").agg(F.min("label").alias("label"))
+    rows = sections.where("content is not null").select("doc_id", "pos", "content").join(F.broadcast(chosen), "doc_id")
+    got = rows.orderBy(F.xxhash64("doc_id", "pos"), "doc_id", "pos", "content").limit(SAMPLE_SECTIONS).select("label", "content").collect()
+    found: dict[str, set[str]] = {k: set() for k in LANGUAGES}
+    for r in got:
+        found[r.label].update(sentences_of(r.content))
+    kept = {k: sorted(found[k], key=lambda s: (zlib.crc32(s.encode()), s))[:SAMPLE_SENTENCES] for k in LANGUAGES}
+    return [s for k in LANGUAGES for s in kept[k]], [k for k in LANGUAGES for _ in kept[k]]
 
 
 def language_segments(df: DataFrame, model: Model, text: str = "content", keys: tuple[str, ...] = ("doc_id", "pos"), prose_only: bool = False) -> DataFrame:
@@ -232,6 +261,13 @@ def undeclared(found: DataFrame, documents: DataFrame) -> DataFrame:
     return found.join(labels, "doc_id", "left").where("named is null or not array_contains(named, lang)").drop("named")
 
 
+def p1_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, pos, segment, lang, confidence, n_sentences, n_chars) of every section, delivered once or more, once each."""
+    sections, documents = table(spark, folder, "sections"), table(spark, folder, "documents_out")
+    model = fit(*labelled_sample(sections, documents))
+    return language_segments(sections, model).dropDuplicates(["doc_id", "pos", "segment"])
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, pos, lang) of the languages of full sentences that the label doesn't declare."""
     sections, documents = table(spark, folder, "sections"), table(spark, folder, "documents_out")
