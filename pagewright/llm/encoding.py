@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import cache
+from functools import cache, lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,8 @@ from pagewright.tables import table
 # The letters and signs beyond ASCII that clean text of the five languages uses.
 LETTERS = "àâäáãæçéèêëíìîïñóòôöõœßúùûüÿ"
 SIGNS = "“”„«»‘’‚–—…•·°€§£¿¡"
+# Small letters that are words of their own.
+ALONE = "àâèéóòô"
 # Letters of other scripts that look like Latin ones; within a Latin word they are a matter of forms (p4).
 LOOK_ALIKE = "аеорсухіѕјкмнтвАВЕЗКМНОРСТУХІЅЈαορνικτυχηΑΒΕΖΗΙΚΜΝΟΡΤΥΧ"
 OTHERS = "абвгдежзийклмнопрстуфхцчшщъыьэюяёАБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЭЮЯЁαβγδεζηθικλμνξοπρσςτυφχψωάέήίόύώ"
@@ -41,6 +44,7 @@ LOST = len(PAIRS) + 1  # the state whose characters were replaced by ? or U+FFFD
 N = len(PAIRS) + 2
 START, LEAVE, SWITCH = 2e-3, 0.02, 1e-6
 RARE = 1e-9
+FRAIL = frozenset([*map(chr, range(0x80, 0xA1)), "\xad"])
 
 
 def written(text: str, encoding: str) -> bytes:
@@ -83,9 +87,18 @@ def restore(text: str, pair: tuple[str, ...]) -> str:
     return text
 
 
+class Emissions(NamedTuple):
+    """Of each state, by (previous character of the same garbled one or '', character): the chance that the garbled
+    character ends here, and that it ends here or goes on."""
+
+    ends: dict[tuple[str, str], np.ndarray]
+    all: dict[tuple[str, str], np.ndarray]
+
+
 @cache
-def model() -> tuple[dict, list[dict[str, str]], np.ndarray]:
-    """Emissions of the garbled states by (previous character or '', character), inverse maps, transitions in logs."""
+def model() -> tuple[Emissions, list[dict[str, str]], np.ndarray]:
+    """Emissions of the garbled states, inverse maps, transitions in logs."""
+    ends: dict[tuple[str, str], np.ndarray] = {}
     emit: dict[tuple[str, str], np.ndarray] = {}
     maps: list[dict[str, str]] = []
     for s, pair in enumerate(PAIRS, 1):
@@ -103,25 +116,30 @@ def model() -> tuple[dict, list[dict[str, str]], np.ndarray]:
                 weight = (3 if c in LETTERS else 1 if c in ALPHABET else 0.3) / len(ALPHABET)
                 before = ""
                 for k, x in enumerate(g):
-                    e = emit.setdefault((before, x), np.zeros(N))
-                    e[s] += weight if k == 0 else 2 / len(ALPHABET)
+                    w = weight if k == 0 else 2 / len(ALPHABET)
+                    emit.setdefault((before, x), np.zeros(N))[s] += w
+                    # Controls, soft hyphens and hard spaces are often dropped or made plain after the wrong reading.
+                    if k + 1 == len(g) or all(y in FRAIL for y in g[k + 1 :]):
+                        ends.setdefault((before, x), np.zeros(N))[s] += w
                     before = x
         maps.append(inverse)
     for before in {b for b, _ in emit if b}:  # within a character, what follows depends on what came
         own = [k for k in emit if k[0] == before]
-        total = sum(emit[k] for k in own)
+        total = np.maximum(sum(emit[k] for k in own), 1e-12)
         for k in own:
-            emit[k] = 0.9 * emit[k] / np.maximum(total, 1e-12)
-    lost = emit.setdefault(("", "�"), np.zeros(N))
-    lost[LOST] = 0.5
-    for e in emit.values():
-        np.maximum(e, RARE, out=e)
+            emit[k] = 0.9 * emit[k] / total
+            if k in ends:
+                ends[k] = 0.9 * ends[k] / total
+    for table in (ends, emit):
+        table.setdefault(("", "�"), np.zeros(N))[LOST] = 0.5
+        for e in table.values():
+            np.maximum(e, RARE, out=e)
     move = np.full((N, N), SWITCH)
     move[0, :] = START / N
     move[:, 0] = LEAVE
     np.fill_diagonal(move, 1 - LEAVE)
     move[0, 0] = 1 - START
-    return {k: np.log(e) for k, e in emit.items()}, maps, np.log(move)
+    return Emissions({k: np.log(e) for k, e in ends.items()}, {k: np.log(e) for k, e in emit.items()}), maps, np.log(move)
 
 
 FOREIGN = {"CYRILLIC", "GREEK", "DEVANAGARI", "CJK", "HIRAGANA", "KATAKANA", "HANGUL", "ARABIC", "HEBREW", "THAI", "ARMENIAN", "GEORGIAN"}
@@ -144,7 +162,9 @@ def clean(before: str, c: str, after: str) -> float:
     """Probability of a character beyond ASCII, or of ?, in clean text between its neighbours."""
     inner = before.isalpha() and after.isalpha()
     if c in LETTERS or c in "åø":
-        return 1e-3 if before.isalpha() and not before.isascii() and before not in LETTERS else 0.06
+        if before.isspace() and (c not in ALONE and after.isspace() or after.isascii() and after.isupper()):
+            return 1e-8
+        return 2e-5 if before.isalpha() and not before.isascii() and before not in LETTERS else 0.06
     if c in ALPHABET and c.isalpha() or c in "ÅØ":
         if before.isascii() and before.isupper() or after.isascii() and after.isupper():
             return 0.03  # within a word in capitals
@@ -177,36 +197,73 @@ def clean(before: str, c: str, after: str) -> float:
     return RARE * 10
 
 
-SUSPECT = re.compile(r"[^\x00-\x7f]|(?<=[^\W\d_])\?(?=[^\W\d_])|(?<=[^\W\d_])\?(?=\s+[a-zà-ÿ])|(?<![^\s'’(\"«“])\?(?=[a-zà-ÿ])")
+_CLASS, _WHERE = r"[?\x80-\U0010ffff]", r"(?:(?<!\?)|(?<=[^\W\d_]\?)(?=[^\W\d_]|\s+[a-zà-ÿ])|(?<![^\s'’(\"«“]\?)(?=[a-zà-ÿ]))"
+#: Characters that tell the states apart; it begins with one class, so that the search skips all others fast.
+SUSPECT = re.compile(_CLASS + _WHERE)
+
+
+#: (character, the one before, the one after) of what SUSPECT finds.
+_AROUND = re.compile(rf"(?s)({_CLASS}){_WHERE}(?<=(.).)(?=(.))")
+
+
+@lru_cache(maxsize=1 << 16)
+def emissions(within: bool, before: str, c: str, after: str) -> np.ndarray:
+    """Log chance of a character that tells in every state, between its neighbours; within: the one before tells as well."""
+    table = model()[0].all if not after.isascii() else model()[0].ends
+    e = np.full(N, np.log(RARE))
+    if c == "?":
+        e[LOST] = np.log(0.3)
+    else:
+        got = table.get((before if within else "", c))
+        if got is None:
+            got = table.get(("", c))
+        if got is not None:
+            e[:] = got
+    e[0] = np.log(clean(before, c, after))
+    if c in LETTERS or c == "’":  # what was left whole, as in a passage where only some characters were lost
+        e[LOST] = np.log(5e-3)
+    return e
+
+
+@lru_cache(maxsize=1 << 16)
+def _gain(c: str, before: str, after: str) -> float:
+    """The most that one character can speak for any other state than the clean one."""
+    return max(float((e[1:] - e[0]).max()) for e in (emissions(True, before, c, after), emissions(False, before, c, after)))
+
+
+def may_be_garbled(text: str) -> bool:
+    """Whether Viterbi may find a span: never false where it does.
+
+    A span costs what it takes to enter it, and its further transitions cost more than staying clean; what it gains is at
+    most the sum of its characters' gains. So there is no span unless some run of characters gains more than entering costs.
+    """
+    spots = _AROUND.findall(f" {text} ")
+    known = {x: _gain(*x) for x in set(spots)}
+    if all(x <= 0 for x in known.values()):
+        return False
+    move = model()[2]
+    cost, run = float(move[0, 0] - move[0, 1]), 0.0
+    for x in spots:
+        run = max(0.0, run + known[x])
+        if run >= cost:
+            return True
+    return False
 
 
 def labels(text: str) -> list[tuple[int, int, int]]:
     """Viterbi: (start, end, state) of each span that isn't clean, in order; start and end are the first and last character that tells."""
-    emit, _, move = model()
+    move = model()[2]
     spots = [m.start() for m in SUSPECT.finditer(text)]
-    if not spots:
+    if not spots or not may_be_garbled(text):
         return []
     n, last = len(text), -2
-    score = np.full(N, -30.0)
+    score = np.full(N, -np.inf)
     score[0] = 0.0
     back = np.empty((len(spots), N), np.int16)
-    rare = np.full(N, np.log(RARE))
     for t, i in enumerate(spots):
-        c, b, a = text[i], text[i - 1] if i else " ", text[i + 1] if i + 1 < n else " "
-        if c == "?":
-            e = rare.copy()
-            e[LOST] = np.log(0.3)
-        else:
-            e = emit.get((b if last == i - 1 else "", c))
-            if e is None:
-                e = emit.get(("", c), rare)
-            e = e.copy()
-        e[0] = np.log(clean(b, c, a))
-        if c in LETTERS or c == "’":  # what was left whole, as in a passage where only some characters were lost
-            e[LOST] = np.log(5e-3)
         step = score[:, None] + move
         back[t] = step.argmax(0)
-        score = step.max(0) + e
+        score = step.max(0) + emissions(last == i - 1, text[i - 1] if i else " ", text[i], text[i + 1] if i + 1 < n else " ")
         last = i
     state = int(score.argmax())
     path = [state]
@@ -257,43 +314,21 @@ def repair(text: str | None) -> tuple[str | None, list[tuple[int, int, str]]]:
 
 
 def is_garbled(text: str | None) -> bool:
-    return bool(text) and bool(QUICK.search(text)) and bool(labels(text))
-
-
-def _ranges(codes: list[int]) -> str:
-    """A character class's inner part for these codes; few ranges keep the test of a character cheap."""
-    out, start = [], None
-    for i, c in enumerate(codes):
-        start = c if start is None else start
-        if i + 1 == len(codes) or codes[i + 1] != c + 1:
-            out.append(f"\\x{start:02x}-\\x{c:02x}")
-            start = None
-    return "".join(out)
-
-
-_USUAL = set("àâäáçéèêëíìîïñóòôöœßúùûü") | set("ÀÂÄÁÇÉÈÊËÍÌÎÏÑÓÒÔÖŒÚÙÛÜ") | set("\xa0\xad¬«»·")
-#: Characters up to U+00FF that clean text hardly has.
-UNUSUAL = _ranges([c for c in range(0x80, 0x100) if chr(c) not in _USUAL])
-# Rows without any match need no model: all their characters are usual where they stand. Every alternative begins with
-# a class that usual text seldom meets, so that most characters cost one test each.
-QUICK = re.compile(
-    rf"[{UNUSUAL}]|[^\x00-\xffœŒ\u2010-\u2026]|[\u2010-\u2012\u2015\u201a\u201b\u201f-\u2021\u2023-\u2026]|¬(?![\r\n])|[À-Þ](?<=[a-zß-ÿ].)"
-    r"|[«»·–—‘“”„•](?<=[^\W\d_].)(?=[^\W\d_])|\?(?<=[^\W\d_].)(?=[^\W\d_]|\s+[a-zß-ÿ])|\?(?<=[\s'’(«“].)(?=[a-zß-ÿ])|^\?[a-zß-ÿ]"
-)
+    return bool(text) and bool(labels(text))
 
 
 def garbled_rows(df: DataFrame, text: str = "content", keys: tuple[str, ...] = ("doc_id", "pos")) -> DataFrame:
     """keys, repaired text and spans of the rows of df that hold garbled characters; other columns don't matter.
 
-    The JVM keeps the rows that aren't ASCII or hold a question mark, a regular expression in the workers those with a
-    character that is odd where it stands; the model reads those alone. No shuffle; nulls, empty and blank texts give no row; a row given twice comes out twice.
+    The JVM keeps the rows that aren't ASCII or hold a question mark; of those Viterbi runs over the ones where the model's
+    own chances leave room for a span (may_be_garbled). No shuffle; nulls, empty and blank texts give no row; a row given twice comes out twice.
     """
     kept = df.select(*keys, F.col(text).alias("text")).where("octet_length(text) > length(text) or contains(text, '?')")
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", repaired string, spans array<struct<start:int,stop:int,pair:string>>"
 
     def run(batches):
         for b in batches:
-            b = b[[QUICK.search(t) is not None for t in b["text"]]]
+            b = b[[may_be_garbled(t) for t in b["text"]]]
             got = [repair(t) for t in b["text"]]
             hit = [bool(spans) for _, spans in got]
             out = b.loc[hit, list(keys)].reset_index(drop=True)
@@ -305,6 +340,11 @@ def garbled_rows(df: DataFrame, text: str = "content", keys: tuple[str, ...] = (
     return kept.mapInPandas(run, schema)
 
 
+def p2_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, pos, repaired, spans) of the garbled sections, once each."""
+    return garbled_rows(table(spark, folder, "sections")).dropDuplicates(["doc_id", "pos"])
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, pos) of the sections with garbled or lost characters."""
     return garbled_rows(table(spark, folder, "sections")).select("doc_id", "pos").distinct()

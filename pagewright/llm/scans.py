@@ -142,9 +142,8 @@ class Lexicon:
 def plain(text: str) -> str:
     """The text with garbled characters repaired (p2) and odd forms made consistent (p4), as those aren't matters of scanning."""
     if not text.isascii():
-        if encoding.QUICK.search(text):
-            text = encoding.repair(text)[0]
-        if forms._ODD.search(text):
+        text = encoding.repair(text)[0]
+        if forms.may_change(text):
             text = text.replace("\xad\n", "¬\n")
             text = forms.consistent(text)
     return text
