@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.forms import _ODD, consistent
+from pagewright.llm.forms import consistent, may_change
 from pagewright.session import checkpoint_folder, cut_lineage
 from pagewright.tables import table
 
@@ -38,7 +38,7 @@ _FILL = (
     r"|einfügen|hier|ihr|noch ausfüllen|ausfüllen|kunden|datum|inserire|qui|vostro|da completare|compilare|nome|data"
 )
 PLACEHOLDER = re.compile(
-    rf"\{{\{{ ?{_NAME} ?\}}\}}|\$\{{ ?{_NAME} ?\}}|<%=? ?{_NAME} ?%>|%%{_NAME}%%|@@{_NAME}@@|<<{_NAME}>>|\[\[{_NAME}\]\]"
+    rf"%\({_NAME}\)[sd]|\{{\{{ ?{_NAME} ?\}}\}}|\$\{{ ?{_NAME} ?\}}|<%=? ?{_NAME} ?%>|%%{_NAME}%%|@@{_NAME}@@|<<{_NAME}>>|\[\[{_NAME}\]\]"
     rf"|(?<![\w#])#{_NAME}#(?![\w#])|(?<!\w)__[^\W\d_]\w{{0,38}}?__(?!\w)|(?<![\w\\{{}}])\{{{_NAME}\}}(?!\}})"
     rf"|\[(?=[^\]\n]*\b(?:{_FILL})\b)[^\[\]\n\d]{{2,40}}\]|<(?=[^>\n]*\b(?:{_FILL})\b)[^\W\d_]+(?: [^\W\d_]+){{1,5}}>"
     r"|\b(?:X{2}|D{2}|J{2}|T{2}|M{2}|G{2})([/.\-])(?:X{2}|M{2}|D{2})\1(?:X{2,4}|Y{2,4}|A{2,4}|J{2,4})\b",
@@ -59,10 +59,11 @@ MESSAGE = re.compile(
     r"|\berreur interne du serveur|\binterner serverfehler|\berror interno del servidor|\berrore interno del server"
     r"|page demandée est introuvable|seite wurde nicht gefunden|no se (?:encuentra|ha encontrado) la página|pagina non (?:è stata )?trovata"
     r"|\b(?:access denied|accès refusé|zugriff verweigert|acceso denegado|accesso negato)\b"
+    r"|\bpage (?:can(?:['’]t|not)|could not) be found|page (?:you requested |requested )?(?:was not found|does not exist)"
     r"|session (?:has )?expired|session a expiré|sitzung ist abgelaufen|sesión ha (?:caducado|expirado)|sessione è scaduta"
     r"|service (?:is )?temporarily unavailable|service est (?:momentanément|temporairement) indisponible|dienst ist vorübergehend nicht (?:erreichbar|verfügbar)"
     r"|servicio no está disponible|servizio non è (?:al momento |momentaneamente )?disponibile"
-    r"|\b(?:enable|activez|activer|aktivieren sie|active|activar?|attivare|attivi|attiva|abilitare) (?:\w+ )?javascript\b|javascript (?:is )?(?:required|disabled|aktivieren)"
+    r"|\b(?:enable|activez|activer|aktivieren sie|active|activar?|(?:switch|turn) on|attivare|attivi|attiva|abilitare) (?:\w+ )?javascript\b|javascript (?:is )?(?:required|disabled|aktivieren)"
     r"|needs? scripts? to run|not support scripts|requires? (?:scripts|javascript)|nécessite l['’]exécution de scripts|bloque les scripts|skripte im browser"
     r"|navegador (?:ejecute|bloquea|no admite) (?:los )?scripts|richiede gli script|browser (?:blocca|non supporta) gli script|browser (?:blockiert|unterstützt) (?:keine )?skripte",
     re.I,
@@ -97,10 +98,10 @@ def has_placeholder(unit: str) -> bool:
 def label(unit: str, words: list[str]) -> int:
     """RESIDUE for messages, notices and filler, PLAIN for sentences about them, OPEN for the rest."""
     if MESSAGE.search(unit):
-        return PLAIN if TELLS.match(unit) or len(words) > 40 else RESIDUE
+        return PLAIN if TELLS.match(unit) else RESIDUE
     if FILLER.search(unit):
         return RESIDUE
-    return RESIDUE if is_latin(words) else OPEN
+    return RESIDUE if is_latin(words) or is_one_letter(words) else OPEN
 
 
 def is_latin(words: list[str]) -> bool:
@@ -108,14 +109,19 @@ def is_latin(words: list[str]) -> bool:
     return len(words) >= 5 and sum(w in LATIN for w in words) * 5 >= len(words) * 3
 
 
+def is_one_letter(words: list[str]) -> bool:
+    """Whether most words of a unit are one letter written again and again, as in xxx xxxxx xx."""
+    return len(words) >= 4 and sum(len(w) > 1 and w.isalpha() and w == w[0] * len(w) for w in words) * 5 >= len(words) * 3
+
+
 # Parts of words without which a text holds no message and no filler.
 HINTS = (
-    "script;skript;error;erreur;fehler;gateway time;bad gateway;not found;introuvable;nicht gefunden;no se encuentra;encontrado;trovata;denied;accès refus"
-    ";verweigert;denegado;negato;expir;abgelaufen;caducado;scaduta;unavailable;forbidden;unauthorized;indisponible;erreichbar;verfügbar"
-    ";está disponible;disponibile;your text;votre texte;ihr text;texto aqu;texto va;testo qui;lorem;ipsum;placeholder;remplissage;blindtext"
-    ";relleno;riempimento;dummy text;coming soon"
-)
-_HINTS = tuple(HINTS.split(";"))
+    "script", "skript", "error", "erreur", "fehler", "gateway time", "bad gateway", "not found", "be found", "does not exist", "introuvable",
+    "nicht gefunden", "no se encuentra", "encontrado", "trovata", "denied", "accès refus", "verweigert", "denegado", "negato", "expir", "abgelaufen",
+    "caducado", "scaduta", "unavailable", "forbidden", "unauthorized", "indisponible", "erreichbar", "verfügbar", "está disponible", "disponibile",
+    "your text", "votre texte", "ihr text", "texto aqu", "texto va", "testo qui", "lorem", "ipsum", "placeholder", "remplissage", "blindtext", "relleno",
+    "riempimento", "dummy text", "coming soon",
+)
 # What every placeholder holds, a sign or the middle of a date between two equal signs.
 _SIGNS = ("{", "[", "<", "%", "@", "#", "__", *(f"{x}{m}{x}" for x in "/.-" for m in ("xx", "mm", "dd")))
 
@@ -175,10 +181,10 @@ WORDS_AT_ONCE = 300_000
 
 def labelled_units(text: str):
     """(kind, words in small letters) of each unit; 3 for a unit with a placeholder."""
-    if not text.isascii() and _ODD.search(text):
+    if may_change(text):
         text = consistent(text)
     low = text.lower()
-    hint, sign = any(x in low for x in _HINTS), any(x in low for x in _SIGNS)
+    hint, sign = any(x in low for x in HINTS), any(x in low for x in _SIGNS)
     for u in units(text):
         words = WORD.findall(u.lower())
         if not words:
@@ -188,7 +194,7 @@ def labelled_units(text: str):
         elif hint:
             yield label(u, words), words
         else:
-            yield RESIDUE if words[0] in LATIN and is_latin(words) else OPEN, words
+            yield RESIDUE if words[0] in LATIN and is_latin(words) or is_one_letter(words) else OPEN, words
 
 
 def coded(rows: list[tuple], flat: list[str]) -> pd.DataFrame:
@@ -227,17 +233,28 @@ def read_units(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInPandas(run, f"key {kind}, unit long, shingles int, prefix array<int>, kind int, words string")
 
 
-def residue_rows(df: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = 20) -> DataFrame:
+def residue_rows(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key) of the rows that hold residue, once each.
 
-    The units are written once to the shared folder and removed when the result stands.
+    The units are written once to the shared folder, as are those that residue may spread to, once each; both are removed
+    when the result stands or the way to it fails.
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/residue-{uuid.uuid4().hex}"
-    read_units(df, key, text).write.option("compression", "zstd").parquet(path)
-    told = spark.read.parquet(path)
+    try:
+        return cut_lineage(_spread(df, key, text, path))
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _spread(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
+    spark = df.sparkSession
+    read_units(df, key, text).write.option("compression", "zstd").parquet(f"{path}/units")
+    told = spark.read.parquet(f"{path}/units")
     each = told.where("kind < 3").groupBy("unit").agg(F.max("kind").alias("kind"), *(F.first(c).alias(c) for c in ("shingles", "prefix")))
-    sought = each.where(f"kind = {OPEN}").select("unit", "shingles", F.explode("prefix").alias("first"))
+    each.where(f"kind = {OPEN}").select("unit", "shingles", F.explode("prefix").alias("first")).write.option("compression", "zstd").parquet(f"{path}/sought")
+    sought = spark.read.parquet(f"{path}/sought")
 
     @F.pandas_udf("double")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -248,7 +265,7 @@ def residue_rows(df: DataFrame, key: str = "doc_id", text: str = "text", rounds:
         return rows.groupBy("unit").agg(*(F.first(c).alias(c) for c in ("shingles", "prefix")), F.min("words").alias("words"))
 
     found = asked = cut_lineage(once(told.where(f"kind = {RESIDUE}")))
-    for _ in range(rounds):
+    while True:  # every round but the last adds a unit, and there are only so many
         near = asked.select(F.col("unit").alias("near"), F.col("shingles").alias("near_shingles"), F.explode("prefix").alias("first"))
         pairs = sought.join(near, "first").where("5 * least(shingles, near_shingles) >= 4 * greatest(shingles, near_shingles)")
         pairs = cut_lineage(pairs.select("unit", "near").distinct().join(found.select("unit"), "unit", "left_anti"))
@@ -261,14 +278,15 @@ def residue_rows(df: DataFrame, key: str = "doc_id", text: str = "text", rounds:
         if asked.isEmpty():
             break
         found = cut_lineage(found.unionByName(asked))
-    else:
-        raise RuntimeError(f"components still grow after {rounds} rounds")
     direct = told.where("kind = 3").select("key")
     spread = told.where("kind < 3").select("key", "unit").join(found.select("unit"), "unit", "left_semi").select("key")
-    result = cut_lineage(direct.union(spread).distinct().withColumnRenamed("key", key))
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    return result
+    return direct.union(spread).distinct().withColumnRenamed("key", key)
+
+
+def p10_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, source and lang of the documents without residue, each row as often as it stands in the table."""
+    documents = table(spark, folder, "documents")
+    return documents.select("doc_id", "source", "lang").join(residue_rows(documents), "doc_id", "left_anti")
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
