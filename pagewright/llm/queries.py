@@ -4,9 +4,12 @@ from pagewright.llm import encoding, forms, language, leaks, markup, quality, re
 
 QUERIES = {
     "p1_found": language.p1_found,
+    "p1_segments": language.p1_segments,
     "p2_found": encoding.p2_found,
+    "p2_restored": encoding.p2_restored,
     "p3_found": scans.p3_found,
     "p4_found": forms.p4_found,
+    "p4_consistent": forms.p4_consistent,
     "p5_found": quality.p5_found,
     "p5_statistics": quality.p5_statistics,
     "p6_found": repetition.p6_found,
@@ -14,5 +17,6 @@ QUERIES = {
     "p8_ids": tokenize.p8_ids,
     "p9_found": leaks.p9_found,
     "p10_found": residue.p10_found,
+    "p10_kept": residue.p10_kept,
 }
 ORACLE: dict[str, str] = {}
