@@ -68,7 +68,7 @@ def words(text: str) -> list[str]:
 
 def stop_share(ws: list[str]) -> float:
     """Share of function words; 0 for no words."""
-    return sum(w.lower() in FUNCTION_WORDS for w in ws) / len(ws) if ws else 0.0
+    return sum(map(FUNCTION_WORDS.__contains__, map(str.lower, ws))) / len(ws) if ws else 0.0
 
 
 def line_kind(line: str) -> str:
@@ -106,14 +106,18 @@ def split_sentences(text: str) -> list[str]:
     return [x for x in parts if x and not x.isspace()]
 
 
-def is_sentence(s: str, whole: bool = True) -> bool:
-    """A sentence in its own right: a capital, an end and words that hold it together."""
-    if whole and not END.search(s, max(0, len(s) - 80)):
-        return False
-    ws = WORD.findall(s)
-    if len(ws) < 4 or stop_share(ws) < 0.12:
-        return False
-    return not whole or ws[0][0].isupper()
+def sentence_words(s: str) -> list[str] | None:
+    """The words, in small letters, of a sentence in its own right: a capital, an end and words that hold it together; None for others."""
+    if s[-1:] not in (".", "!", "?") and not END.search(s, max(0, len(s) - 80)):
+        return None
+    ws = WORD.findall(s.lower())
+    if len(ws) < 4 or sum(map(FUNCTION_WORDS.__contains__, ws)) < 0.12 * len(ws) or not WORD.search(s).group()[0].isupper():
+        return None
+    return ws
+
+
+def is_sentence(s: str) -> bool:
+    return sentence_words(s) is not None
 
 
 def join_lines(lines: list[str]) -> str:

@@ -81,23 +81,21 @@ class Presence:
             self._slot[w] = len(self._slot)
             self._used += len(own)
 
-    def blocks(self, texts: list[str]):
-        """(number of the first text, presence matrix) of each block; the matrix is only good until the next one."""
+    def blocks(self, texts: list[set[str]]):
+        """(number of the first text, presence matrix) of each block of texts, given as their distinct words; the matrix is
+        only good until the next one."""
         for first in range(0, len(texts), BLOCK):
-            words, counts = [], []
-            for t in texts[first : first + BLOCK]:
-                own = distinct_words(t)
-                words += own
-                counts.append(len(own))
+            counts = [len(own) for own in texts[first : first + BLOCK]]
+            words = [w for own in texts[first : first + BLOCK] for w in own]
             if len(self._slot) > 200_000:
                 self._clear()
             self._learn([w for w in dict.fromkeys(words) if w not in self._slot])
-            slots = np.fromiter((self._slot[w] for w in words), np.int64, len(words))
+            slots = np.fromiter(map(self._slot.__getitem__, words), np.int64, len(words))
             sizes = self._sizes[slots]
             ends = np.cumsum(sizes)
             places = np.repeat(self._starts[slots] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
-            rows = np.repeat(np.repeat(np.arange(len(counts)), counts), sizes)
-            cells = rows * len(self.index) + self._columns[places]
+            rows = np.repeat(np.arange(len(counts)) * len(self.index), counts)
+            cells = np.repeat(rows, sizes) + self._columns[places]
             flat = self._block.reshape(-1)
             flat[cells] = 1
             yield first, self._block[: len(counts)]
@@ -112,8 +110,8 @@ class Model:
     weights: np.ndarray
     scale: float
 
-    def score(self, sentences: list[str]) -> np.ndarray:
-        """sentences x languages: one matrix product for each block of sentences."""
+    def score(self, sentences: list[set[str]]) -> np.ndarray:
+        """sentences, given as their distinct words, x languages: one matrix product for each block of sentences."""
         if not hasattr(self, "_presence"):
             self._presence = Presence(self.index)
         out = np.zeros((len(sentences), len(LANGUAGES)), np.float32)
@@ -122,9 +120,9 @@ class Model:
             out[first : first + len(got)] = got[:, :-1] / np.sqrt(np.maximum(got[:, -1:], 1e-6))
         return out
 
-    def classify(self, sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Language numbers and confidences, 0 where the two best scores are equal, towards 1 where they are far apart."""
-        s = self.score(sentences)
+    def classify(self, sentences: list[str] | list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Language numbers and confidences of texts or of their distinct words, 0 where the two best scores are equal, towards 1 where they are far apart."""
+        s = self.score([distinct_words(x) if isinstance(x, str) else x for x in sentences])
         order = np.sort(s, axis=1)
         return s.argmax(1), np.tanh((order[:, -1] - order[:, -2]) / self.scale).astype(float)
 
@@ -138,20 +136,21 @@ def fit(sentences: list[str], labels: list[str], landmarks: int = LANDMARKS, rid
     Kernel values come block by block; nothing of the size texts x n-grams is ever held.
     """
     y = np.array([LANGUAGES.index(x) for x in labels])
+    texts = [distinct_words(x) for x in sentences]
     marks = [i for k in range(len(LANGUAGES)) for i in np.flatnonzero(y == k)[:landmarks]]
-    found = Counter(g for i in marks for g in {g for w in distinct_words(sentences[i]) for g in grams(w)})
+    found = Counter(g for i in marks for g in {g for w in texts[i] for g in grams(w)})
     index = {g: k for k, g in enumerate(sorted(g for g, n in found.items() if n >= LEAST_LANDMARKS))}
     presence = Presence(index)
     texts_with = np.zeros(len(index))
-    for _, present in presence.blocks(sentences):
+    for _, present in presence.blocks(texts):
         texts_with += present.sum(0)
-    rare = np.log(max(2, len(sentences)) / np.maximum(1, texts_with)).astype(np.float32)  # n-grams that any text has tell little
+    rare = np.log(max(2, len(texts)) / np.maximum(1, texts_with)).astype(np.float32)  # n-grams that any text has tell little
     model = None
-    keep = np.ones(len(sentences), bool)
+    keep = np.ones(len(texts), bool)
     for _ in range(2):
         own = [i for i in marks if keep[i]]
         basis = np.zeros((len(own), len(index)), np.float32)
-        for first, present in presence.blocks([sentences[i] for i in own]):
+        for first, present in presence.blocks([texts[i] for i in own]):
             basis[first : first + len(present)] = present * rare
         basis /= np.maximum(np.linalg.norm(basis, axis=1, keepdims=True), 1e-6)
         values, vectors = np.linalg.eigh((basis @ basis.T).astype(float))
@@ -159,15 +158,15 @@ def fit(sentences: list[str], labels: list[str], landmarks: int = LANDMARKS, rid
         root = vectors[:, good] / np.sqrt(values[good])
         kept = np.flatnonzero(keep)
         gram, right = ridge * len(kept) * np.eye(root.shape[1]), np.zeros((root.shape[1], len(LANGUAGES)))
-        for first, present in presence.blocks([sentences[i] for i in kept]):
+        for first, present in presence.blocks([texts[i] for i in kept]):
             rows = present * rare
             z = (rows @ basis.T / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-6)).astype(float) @ root
             gram += z.T @ z
             right += z.T @ np.where(y[kept[first : first + len(z)], None] == np.arange(len(LANGUAGES)), 1.0, -1.0)
         folded = basis.T @ (root @ np.linalg.solve(gram, right)).astype(np.float32)
         model = Model(index, np.concatenate([folded * rare[:, None], (rare**2)[:, None]], axis=1), 1.0)
-        keep = model.score(sentences).argmax(1) == y
-    s = np.sort(model.score([x for x, k in zip(sentences, keep) if k]), axis=1)
+        keep = model.score(texts).argmax(1) == y
+    s = np.sort(model.score([x for x, k in zip(texts, keep) if k]), axis=1)
     model.scale = float(np.median(s[:, -1] - s[:, -2])) / 2 or 1.0
     return model
 
@@ -213,14 +212,18 @@ def language_segments(df: DataFrame, model: Model, text: str = "content", keys:
     def run(batches):
         m = shared.value
         for b in (x.iloc[i : i + 1000] for x in batches for i in range(0, len(x), 1000)):
-            sentences, owner = [], []
+            sentences, owner, sizes = [], [], []
             for i, t in enumerate(b["text"]):
                 parsed = blocks.parse(t)
                 if prose_only and blocks.prose_share(parsed) < 0.5:
                     continue
-                own = [s for x in parsed if x.kind == "prose" for s in blocks.split_sentences(x.text) if blocks.is_sentence(s)]
-                sentences += own
-                owner += [i] * len(own)
+                for x in parsed:
+                    if x.kind == "prose":
+                        for s in blocks.split_sentences(x.text):
+                            if (own := blocks.sentence_words(s)) is not None:
+                                sentences.append(set(own))
+                                sizes.append(len(s))
+                                owner.append(i)
             lang, confidence = m.classify(sentences)
             if not sentences:
                 continue
@@ -234,7 +237,7 @@ def language_segments(df: DataFrame, model: Model, text: str = "content", keys:
             out["lang"] = np.array(LANGUAGES)[lang[new]]
             out["confidence"] = np.add.reduceat(confidence, new) / count
             out["n_sentences"] = count
-            out["n_chars"] = np.add.reduceat(np.array([len(s) for s in sentences]), new)
+            out["n_chars"] = np.add.reduceat(np.array(sizes), new)
             yield out
 
     kept = df.select(*keys, F.col(text).alias("text")).where(F.col("text").rlike(r"[^\s\p{Z}]"))
