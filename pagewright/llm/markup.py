@@ -1,9 +1,10 @@
 """Problem 7: markup residue turned into clean text that keeps its structure.
 
 HTML, Markdown, wiki and LaTeX marks become plain Markdown-like text: headings (#), list items (-), table rows (|),
-fenced code and formulas ($) stay, everything else is unwrapped. Blocks are then classified in two passes: stop-word
-density, length and link density decide good and bad blocks; short ones that stay open inherit the label of the
-nearest decided neighbours, a bad one only if both are bad. Bad blocks (link lists, navigation) are left out.
+fenced code and formulas ($) stay, everything else is unwrapped. Blocks are classified in two passes: marks that nothing
+else looks like, stop-word density, length and link density decide good blocks, link lists and junk; short ones that stay
+open inherit the label of the nearest decided neighbours, a bad one only if all of these agree. Weak marks (single signs)
+in junk are chance and don't count; link lists and navigation are left out of the clean text.
 
 Defined results: null gives null; empty and blank texts come out empty; a text without marks comes out as it is.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from typing import NamedTuple
 
 import pandas as pd
@@ -41,9 +43,13 @@ LATEX = (
 )
 #: Any mark; what looks like plain typing (bullets, numbers in brackets, prices, comparisons) isn't among them.
 MARK = re.compile(f"{TAG}|{ENTITY}|{MARKDOWN}|{WIKI}|{LATEX}", re.I | re.M)
+#: Marks that nothing else looks like; the others are weak.
+STRONG = re.compile(rf"{TAG}|{ENTITY}|!?\[[^\]\n]*\]\([^)\s]+\)|^ {{0,3}}\|(?: ?:?-{{2,}}:? ?\|)+|\[\[[^\]\n]+\]\]|\{{\{{[^}}\n]+\}}\}}|^ *={{2,6}} *[^=\n]+? *={{2,6}} *$|\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?\{{", re.I | re.M)
 _QUICK = re.compile(r"[<&*_~`\[{\\$|]|''|==|^ {0,3}[#>]", re.M)
 
 _NAMED = re.compile(ENTITY, re.I)
+_BLANK_LINE = re.compile(r"\n[ \t\r]*\n")
+_LINKED = re.compile(r"\x02(.*?)\x03|<a\b[^>]*>(.*?)</a\s*>|\[([^\]\n]+)\]\([^)\s]+\)|\[\[(?:[^\]|\n]*\|)?([^\]|\n]+)\]\]", re.I | re.S)
 _HEADING = re.compile(r"<h([1-6])\b[^>]*>(.*?)</h\1\s*>", re.I | re.S)
 _DROP = re.compile(r"<(script|style|noscript|template|head|nav)\b.*?</\1\s*>|<!--.*?-->|<ref\b[^>]*/>|<ref\b.*?</ref\s*>", re.I | re.S)
 _LINK = re.compile(r"<a\b[^>]*>(.*?)</a\s*>", re.I | re.S)
@@ -58,14 +64,20 @@ class Cleaned(NamedTuple):
     n_dropped: int
 
 
-def has_marks(text: str | None) -> bool:
-    """Whether a text holds a mark; entities must be named in HTML."""
+def count_marks(text: str | None) -> int:
+    """The marks of a text but weak ones in junk; entities must be named in HTML."""
     if not text or not _QUICK.search(text):
-        return False
-    for m in MARK.finditer(text):
-        if m.group()[0] != "&" or html.unescape(m.group()) != m.group():
-            return True
-    return False
+        return 0
+    places = [m.start() for m in MARK.finditer(text) if m.group()[0] != "&" or html.unescape(m.group()) != m.group()]
+    if not places:
+        return 0
+    cuts = [m.end() for m in _BLANK_LINE.finditer(text)]
+    labels = label_blocks([text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])])
+    return sum(labels[bisect_right(cuts, p)] != "junk" for p in places)
+
+
+def has_marks(text: str | None) -> bool:
+    return count_marks(text) > 0
 
 
 def _accent(m: re.Match) -> str:
@@ -124,32 +136,36 @@ def _from_markdown(t: str) -> str:
     return re.sub(r"(?m)^ {0,3}> ?(?=[^\W\d]|[\"'«“„(])", "", t)
 
 
-def label_blocks(parts: list[str]) -> list[bool]:
-    """Whether each block stays. Links stand between \\x02 and \\x03."""
-    kinds: list[str] = []
-    for p in parts:
-        plain = p.replace("\x02", "").replace("\x03", "")
-        linked = sum(len(x) for x in re.findall("\x02(.*?)\x03", p, re.S))
-        words = blocks.WORD.findall(plain)
-        share = blocks.stop_share(words)
-        if linked > 0.5 * max(1, len(plain)) and len(plain) > 0:
-            kinds.append("bad")
-        elif re.match(r"\s*(?:#|```|\||\$|- )", plain):
-            kinds.append("good")
-        elif len(plain) >= 70 and share >= 0.15:
-            kinds.append("good")
-        elif len(plain) >= 200:
-            kinds.append("good" if share >= 0.05 or linked == 0 else "bad")
-        else:
-            kinds.append("short")
-    keep = []
+def first_label(block: str) -> str:
+    """good, bad (links), junk or short, by the block alone. Links are HTML, Markdown or wiki ones, or stand between \\x02 and \\x03."""
+    linked = sum(len(next(filter(None, x))) for x in _LINKED.findall(block))
+    plain = MARK.sub(" ", block).replace("\x02", "").replace("\x03", "").strip()
+    words = blocks.WORD.findall(plain)
+    share = blocks.stop_share(words)
+    letters = sum(map(len, words))
+    if linked > 0.5 * max(1, len(plain)):
+        return "bad"
+    if STRONG.search(block) or re.match(r"\s*(?:#{1,6} \w|```|\| |\$\S|- \w)", block):
+        return "good"
+    if letters * 2 < len("".join(plain.split())) or words and max(map(len, words)) > 34:
+        return "junk"
+    if len(plain) >= 70 and share >= 0.15:
+        return "good"
+    if len(plain) >= 200:
+        return "good" if share >= 0.05 or linked == 0 else "bad"
+    return "short"
+
+
+def label_blocks(parts: list[str]) -> list[str]:
+    """good, bad or junk for each block: short ones take what all of their nearest decided neighbours are, good where these differ or are none."""
+    kinds = [first_label(p) for p in parts]
+    out = []
     for i, k in enumerate(kinds):
         if k == "short":
-            before = next((x for x in reversed(kinds[:i]) if x != "short"), "good")
-            after = next((x for x in kinds[i + 1 :] if x != "short"), "good")
-            k = "bad" if before == after == "bad" else "good"
-        keep.append(k == "good")
-    return keep
+            near = {next((x for x in side if x != "short"), None) for side in (reversed(kinds[:i]), kinds[i + 1 :])} - {None}
+            k = near.pop() if len(near) == 1 else "good"
+        out.append(k)
+    return out
 
 
 def clean(text: str | None) -> Cleaned | None:
@@ -157,17 +173,17 @@ def clean(text: str | None) -> Cleaned | None:
     if text is None:
         return None
     t = text.replace("\r\n", "\n").replace("\r", "\n")
-    if not has_marks(t):
+    n = count_marks(t)
+    if not n:
         return Cleaned("" if t.isspace() else text, 0, 0)
-    n = len(MARK.findall(t))
-    if "&lt;" in t or "&amp;" in t or "&#" in t or "&" in t:
+    if "&" in t:
         t = _NAMED.sub(lambda m: html.unescape(m.group()), t)
     fences = re.split(r"(?ms)(^ {0,3}```.*?^ {0,3}```[^\n]*$)", t)
     for i in range(0, len(fences), 2):
         fences[i] = _from_markdown(_from_wiki(_from_latex(_from_html(fences[i])))) if fences[i] else ""
     t = "".join(fences)
     parts = [p.strip("\n") for p in re.split(r"\n[ \t]*\n\s*", t) if p.strip()]
-    keep = label_blocks(parts)
+    keep = [k != "bad" for k in label_blocks(parts)]
     out = "\n\n".join(re.sub(r"[ \t]+(?=\n|$)", "", p) for p, k in zip(parts, keep) if k)
     return Cleaned(out.replace("\x02", "").replace("\x03", ""), n, keep.count(False))
 
@@ -182,15 +198,19 @@ def marked_rows(df: DataFrame, text: str = "content", keys: tuple[str, ...] = ("
 
     def run(batches):
         for b in batches:
-            hit = b["text"].map(has_marks).astype(bool)
-            got = [clean(t) for t in b.loc[hit, "text"]]
-            out = b.loc[hit, list(keys)].reset_index(drop=True)
+            got = [(k, c) for k, c in enumerate(map(clean, b["text"])) if c.n_marks]
             if got:
-                yield pd.concat([out, pd.DataFrame(got, columns=["clean", "n_marks", "n_dropped"])], axis=1)
+                out = b[list(keys)].iloc[[k for k, _ in got]].reset_index(drop=True)
+                yield pd.concat([out, pd.DataFrame([c for _, c in got], columns=["clean", "n_marks", "n_dropped"])], axis=1)
 
     return kept.mapInPandas(run, schema)
 
 
+def p7_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, pos, clean, n_marks, n_dropped) of the sections whose content holds markup, once each."""
+    return marked_rows(table(spark, folder, "sections")).dropDuplicates(["doc_id", "pos"])
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, pos) of the sections whose content holds markup."""
     return marked_rows(table(spark, folder, "sections")).select("doc_id", "pos").distinct()
