@@ -1,22 +1,27 @@
 """Problem 9: passages of evaluation items inside documents.
 
-Size-partitioned MinHash containment search. Documents are partitioned by their number of words: short ones are one
-domain, longer ones are cut into windows of 2 * PASSAGE words that step by PASSAGE, so that any passage lies whole in
-one window. Queries are all passages of PASSAGE words of the items. A partition's largest size bounds the Jaccard
-similarity that full containment implies, and with it the number of single-row bands that leaves a chance of
-at most MISS of overlooking a passage. Candidates are verified by exact containment of PASSAGE words in a row.
+Size-partitioned MinHash containment search. Queries are all passages of PASSAGE words of the items. A partition's size
+bounds the Jaccard similarity that full containment implies, and with it the number of bands; so every document, short or
+long, is partitioned into windows of just PASSAGE words, the size of the queries. A window that is a passage then has
+similarity 1, one band of one MinHash finds it, and none is overlooked. Neighbouring windows mostly share their MinHash, so
+that two in nine words bring one. Candidates are verified by the exact containment of PASSAGE words in a row.
+
+Items up to block_chars characters are sent to the executors; more are joined by MinHash, then by passage, without
+any list of items on the driver and with one scan of the corpus in either case.
 
 Defined results: items and documents under PASSAGE words have no passage; null, empty and blank texts match
-nothing; a document given twice comes out once; an item given twice counts once.
+nothing; an item without a number is passed over; a document given twice comes out once; an item given twice counts once. Words and passages are compared by
+64-bit numbers.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
+import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +29,10 @@ from pagewright.tables import table
 
 PASSAGE = 12
 SHINGLE = 5
-MISS = 1e-7
+#: Items of at most so many characters in all are sent to the executors.
 BLOCK_CHARS = 4_000_000
-#: Upper sizes, in words, of the partitions of documents that are one domain each; above the last they are cut into windows.
-SIZES = (PASSAGE, PASSAGE * 3 // 2, 2 * PASSAGE)
+#: Texts that are searched at once.
+TEXTS = 500
 WORD = re.compile(r"[^\W_]+")
 MARKS = re.compile("[̀-ͯ]")
 
@@ -39,81 +44,65 @@ def plain_words(text: str) -> list[str]:
     return WORD.findall(text.casefold())
 
 
-def bands(size: int) -> int:
-    """Bands of one MinHash each for a domain of that many words and a query that it contains."""
-    shingles, query = size - SHINGLE + 1, PASSAGE - SHINGLE + 1
-    jaccard = query / shingles
-    return 1 if jaccard >= 1 else math.ceil(math.log(MISS) / math.log(1 - jaccard))
-
-
-FUNCTIONS = bands(SIZES[-1])
-_SEEDS = np.array([pow(6364136223846793005, k + 1, 1 << 64) | 1 for k in range(FUNCTIONS)], np.uint64)
+class Numbers(dict):
+    """64-bit numbers of words."""
 
+    def __missing__(self, word: str) -> int:
+        import xxhash
 
-def word_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
-    """64-bit numbers of words; the memo is bounded."""
-    if len(known) > 500_000:
-        known.clear()
-    out = []
-    for w in words:
-        h = known.get(w)
-        if h is None:
-            import xxhash
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
 
-            h = known[w] = xxhash.xxh64_intdigest(w)
-        out.append(h)
-    return np.array(out, np.uint64)
 
-
-def rolling(h: np.ndarray, n: int) -> np.ndarray:
-    """Numbers of all runs of n words."""
-    if len(h) < n:
-        return h[:0]
-    out = np.zeros(len(h) - n + 1, np.uint64)
+def rolling(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of the runs of n words that begin at those places."""
+    out = np.zeros(len(at), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(n):
-            out = (out ^ h[k : len(h) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+            out = (out ^ h[at + k]) * np.uint64(0x9E3779B97F4A7C15)
             out ^= out >> np.uint64(31)
     return out
 
 
-STEP = math.gcd(PASSAGE, 2 * PASSAGE - SHINGLE + 1)  # windows are made of blocks of so many shingles
+class Windows:
+    """All windows of PASSAGE words of some texts: the text they lie in, where they begin, and their MinHash."""
 
+    def __init__(self, texts: list[str | None], numbers: Numbers):
+        words = [plain_words(t) if t else [] for t in texts]
+        sizes = np.array([len(w) for w in words], np.int64)
+        self.words = np.fromiter((numbers[w] for own in words for w in own), np.uint64, int(sizes.sum()))
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        starts = np.arange(max(0, len(owner) - PASSAGE + 1))
+        self.starts = starts[owner[starts] == owner[starts + PASSAGE - 1]]
+        self.owner = owner[self.starts]
+        self.minhash = self._minhash()[self.starts] if len(self.starts) else np.zeros(0, np.uint64)
 
-def window_minhash(shingles: np.ndarray, blocks: np.ndarray, width: int, k: int) -> np.ndarray:
-    """The k-th MinHash of windows of width shingles that begin at those blocks of STEP; every text fills its last block."""
-    with np.errstate(over="ignore"):
-        v = shingles * _SEEDS[k]
-    least = v[0::STEP].copy()
-    for j in range(1, STEP):
-        np.minimum(least, v[j::STEP], out=least)
-    out = least[blocks]
-    for j in range(1, width // STEP):
-        np.minimum(out, least[blocks + j], out=out)
-    return out
+    def _minhash(self) -> np.ndarray:
+        """The least number among the shingles of SHINGLE words of each window; windows grow by doubling."""
+        v = rolling(self.words, np.arange(len(self.words) - SHINGLE + 1), SHINGLE)
+        width, want = 1, PASSAGE - SHINGLE + 1
+        while width < want:
+            step = min(width, want - width)
+            v = np.minimum(v[:-step], v[step:])
+            width += step
+        return v
+
+    def passages(self, windows: np.ndarray) -> np.ndarray:
+        return rolling(self.words, self.starts[windows], PASSAGE)
 
 
 class Index:
-    """Passages of a block of items: MinHashes by band, and the exact passages."""
+    """MinHashes and passages of items."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        known: dict[str, int] = {}
+        w = Windows([t for _, t in items], Numbers())
+        self.minhashes = np.unique(w.minhash)
         exact: dict[int, set[int]] = {}
-        columns: list[list[np.ndarray]] = [[] for _ in range(FUNCTIONS)]
-        width = PASSAGE - SHINGLE + 1
-        for item, text in items:
-            h = word_hashes(plain_words(text or ""), known)
-            if len(h) < PASSAGE:
-                continue
-            for p in rolling(h, PASSAGE).tolist():
-                exact.setdefault(p, set()).add(item)
-            s = np.lib.stride_tricks.sliding_window_view(rolling(h, SHINGLE), width).ravel()
-            for k in range(FUNCTIONS):
-                with np.errstate(over="ignore"):
-                    columns[k].append((s.reshape(-1, width) * _SEEDS[k]).min(1))
+        for p, k in zip(w.passages(np.arange(len(w.starts))).tolist(), w.owner.tolist()):
+            exact.setdefault(p, set()).add(items[k][0])
         self.exact = exact
-        self.passages = np.array(sorted(exact), np.uint64)
-        self.bands = [np.unique(np.concatenate(c)) if c else np.zeros(0, np.uint64) for c in columns]
 
 
 def _in(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -124,96 +113,69 @@ def _in(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_values[at] == x
 
 
-def search(index: Index, texts: list[str | None], known: dict[str, int]) -> list[tuple[int, int]]:
+def search(index: Index, texts: list[str | None], numbers: Numbers) -> list[tuple[int, int]]:
     """(number of the text, item) of the texts that contain a passage."""
-    parts = [word_hashes(plain_words(t), known) if t else np.zeros(0, np.uint64) for t in texts]
-    lengths = np.array([len(h) for h in parts])
-    begins = np.concatenate([[0], np.cumsum(lengths)])
-    words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    shingles = rolling(words, SHINGLE)
-    short: dict[int, list[tuple[int, np.ndarray]]] = {size: [] for size in SIZES}
-    pieces, blocks, owner, spans = [], [], [], []
-    full, base = SIZES[-1] - SHINGLE + 1, 0
-    for i, n in enumerate(lengths.tolist()):
-        if n < PASSAGE:
-            continue
-        s = shingles[begins[i] : begins[i] + n - SHINGLE + 1]
-        if n <= SIZES[-1]:
-            short[next(x for x in SIZES if n <= x)].append((i, s))
-            continue
-        starts = np.arange(0, n - PASSAGE, PASSAGE)
-        pad = int(starts[-1]) + full - len(s)
-        s = np.concatenate([s, np.repeat(s[-1:], pad + -(len(s) + pad) % STEP)]) if pad > 0 else s[: len(s) + pad]
-        pieces.append(s)
-        blocks.append(base + starts // STEP)
-        owner.append(np.full(len(starts), i))
-        spans.append(starts)
-        base += len(s) // STEP
-    who, where = [], []
-    for size, own in short.items():
-        for i, s in own:
-            with np.errstate(over="ignore"):
-                if any(_in(index.bands[k], (s * _SEEDS[k]).min(keepdims=True))[0] for k in range(bands(size))):
-                    who.append(np.array([i]))
-                    where.append(np.array([0]))
-    if pieces:
-        flat, at = np.concatenate(pieces), np.concatenate(blocks)
-        hit = np.zeros(len(at), bool)
-        for k in range(FUNCTIONS):
-            hit |= _in(index.bands[k], window_minhash(flat, at, full, k))
-        who.append(np.concatenate(owner)[hit])
-        where.append(np.concatenate(spans)[hit])
-    if not who:
-        return []
-    # Exact containment: the passages that begin in a candidate window and end in the same text.
-    who, where = np.concatenate(who), np.concatenate(where)
-    passages = rolling(words, PASSAGE)
-    offsets = where[:, None] + np.arange(PASSAGE + 1)
-    inside = offsets <= (lengths[who] - PASSAGE)[:, None]
-    rows = np.broadcast_to(who[:, None], offsets.shape)[inside]
-    values = passages[(begins[who][:, None] + offsets)[inside]]
-    same = _in(index.passages, values)
-    found = {(i, item) for i, x in zip(rows[same].tolist(), values[same].tolist()) for item in index.exact[x]}
-    return sorted(found)
+    w = Windows(texts, numbers)
+    candidates = np.flatnonzero(_in(index.minhashes, w.minhash))
+    found = zip(w.owner[candidates].tolist(), w.passages(candidates).tolist())
+    return sorted({(k, item) for k, p in found for item in index.exact.get(p, ())})
+
+
+#: The index of a worker, by the number of its search.
+_BUILT: dict[str, Index] = {}
 
 
 def leaked(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(key, item_key), once each, of the rows of df that share PASSAGE words in a row with an item.
-
-    Items are read in blocks of at most block_chars characters, each of which is sent to the executors; any number of
-    blocks is searched, one scan of df each. No shuffle of texts.
-    """
-    spark = df.sparkSession
-    asked = items.select(F.col(item_key).alias("item"), F.col(item_text).alias("text")).where("text is not null")
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for r in asked.toLocalIterator():
-        if size + len(r.text) > block_chars and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r.item, r.text))
-        size += len(r.text)
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(f"length(text) >= {2 * PASSAGE - 1}")
-    kinds = f"key {df.schema[key].dataType.simpleString()}, item {items.schema[item_key].dataType.simpleString()}"
-    out = None
-    for block in blocks:
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches, shared=shared):
-            index, known = Index(shared.value), {}
-            for b in batches:
-                texts = b["text"].tolist()
-                got = []
-                for i in range(0, len(texts), 500):
-                    got += [(i + n, item) for n, item in search(index, texts[i : i + 500], known)]
-                res = b[["key"]].iloc[[n for n, _ in got]].reset_index(drop=True)
-                res["item"] = [item for _, item in got]
-                if got:
-                    yield res
-
-        part = rows.mapInPandas(run, kinds)
-        out = part if out is None else out.unionByName(part)
-    return out.distinct().toDF(key, item_key)
+    """(key, item_key), once each, of the rows of df that share PASSAGE words in a row with an item. Texts are never shuffled."""
+    asked = items.select(F.col(item_key).alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")
+    kinds = df.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
+    size = asked.agg(F.sum(F.length("text"))).first()[0] or 0
+    found = _by_broadcast(rows, asked, kinds) if size <= block_chars else _by_join(rows, asked, kinds)
+    return found.distinct().toDF(key, item_key)
+
+
+def _by_broadcast(rows: DataFrame, asked: DataFrame, kinds: tuple[str, str]) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast([(r.item, r.text) for r in asked.collect()])
+    name = uuid.uuid4().hex
+
+    def run(batches):
+        if name not in _BUILT:
+            _BUILT.clear()
+            _BUILT[name] = Index(shared.value)
+        numbers = Numbers()
+        for b in batches:
+            texts = b["text"].tolist()
+            got = [(i + n, item) for i in range(0, len(texts), TEXTS) for n, item in search(_BUILT[name], texts[i : i + TEXTS], numbers)]
+            if got:
+                yield b[["key"]].iloc[[n for n, _ in got]].reset_index(drop=True).assign(item=[item for _, item in got])
+
+    return rows.mapInPandas(run, f"key {kinds[0]}, item {kinds[1]}")
+
+
+def _by_join(rows: DataFrame, asked: DataFrame, kinds: tuple[str, str]) -> DataFrame:
+    """Both sides as rows of (MinHash, passages); a MinHash of the items only lets windows through, so none meets all items that have it."""
+
+    def windows(batches):
+        numbers = Numbers()
+        for b in batches:
+            for i in range(0, len(b), TEXTS):
+                own = b.iloc[i : i + TEXTS]
+                w = Windows(own["text"].tolist(), numbers)
+                if not len(w.starts):
+                    continue
+                first = np.flatnonzero(np.r_[True, (w.minhash[1:] != w.minhash[:-1]) | (w.owner[1:] != w.owner[:-1])])
+                passages = np.split(w.passages(np.arange(len(w.starts))).view(np.int64), first[1:])
+                yield pd.DataFrame({"id": own.iloc[:, 0].to_numpy()[w.owner[first]], "minhash": w.minhash[first].view(np.int64), "passages": passages})
+
+    def of(df: DataFrame, kind: str) -> DataFrame:
+        return df.mapInPandas(windows, f"id {kind}, minhash long, passages array<long>")
+
+    told = of(asked.select("item", "text"), kinds[1])
+    known = told.select("minhash").distinct()
+    near = of(rows.select("key", "text"), kinds[0]).join(known, "minhash", "left_semi").select(F.col("id").alias("key"), F.explode("passages").alias("passage")).distinct()
+    exact = told.select(F.col("id").alias("item"), F.explode("passages").alias("passage")).distinct()
+    return near.join(exact, "passage").select("key", "item")
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
