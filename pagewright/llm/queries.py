@@ -8,12 +8,14 @@ QUERIES = {
     "p2_found": encoding.p2_found,
     "p2_restored": encoding.p2_restored,
     "p3_found": scans.p3_found,
+    "p3_repaired": scans.p3_repaired,
     "p4_found": forms.p4_found,
     "p4_consistent": forms.p4_consistent,
     "p5_found": quality.p5_found,
     "p5_statistics": quality.p5_statistics,
     "p6_found": repetition.p6_found,
     "p7_found": markup.p7_found,
+    "p7_clean": markup.p7_clean,
     "p8_ids": tokenize.p8_ids,
     "p9_found": leaks.p9_found,
     "p10_found": residue.p10_found,

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from pagewright.llm import blocks, encoding, forms
 from pagewright.tables import table
 
-#: A word belongs to the lexicon from this share of all words on, which bounds the lexicon by 1 / SHARE words.
+#: A word belongs to the lexicon from this share of all words on, which bounds the lexicon by 1 / SHARE words. As a share it
+#: asks of a word to be as frequent in a large corpus as in a small one, so that misreadings, which grow with it, stay out.
 SHARE, LEAST = 2e-6, 3
 CONFUSED, NO_LETTER, UNKNOWN, HYPHEN, MERGE, SPLIT = 4.0, 6.0, 2.0, 1.0, 3.0, 3.0
 # What scanners read for what stood there.
@@ -44,6 +45,9 @@ BREAK = re.compile(r"[-¬=\xad‐�](?:(?<=[^\W\d_].)|(?<=[^\W\d_]┬.))¨? ?\r
 PAGE = re.compile(
     r"[-—–\s|*\[(]*(?:(?:page|pag|pág|p|seite|s|página|pagina|blatt)\b\.?\s*)?(?:(\d{1,4})|([ivxl]{1,6}))(?:\s*(?:/|of|sur|von|de|di)\s*(\d{1,4}))?[-—–\s|*\])]*$", re.I
 )
+#: A page number's line has no more plain letters than its words have.
+_FEW_LETTERS = re.compile(r"[^A-Za-z]*+(?:[A-Za-z][^A-Za-z]*+){0,20}+\Z")
+_PAGE_ENDS = frozenset("0123456789ivxlIVXL-—–|*]) \t")
 _TAIL = re.compile(r"[\s|·—–-]*(?:(?:page|pag|pág|p|seite|s)\b\.?)?[\s|·/—–-]*\d{1,4}\s*(?:/\s*\d{1,4})?\s*$", re.I)
 _HEAD = re.compile(r"^\s*(?:(?:page|p|seite)\b\.?)?\s*\d{1,4}\s*[|·—–-]\s*|^\s*\d{1,4}\s{2,}", re.I)
 
@@ -56,6 +60,8 @@ class Lexicon:
         self.unknown = math.log(2 * self.total) + UNKNOWN
         #: Words so frequent that no other can stand behind them.
         self.usual = frozenset(w for w, n in counts.items() if n > self.total * 1e-4)
+        #: A reading is at most so much shorter than its token, so longer tokens stand for no word of the lexicon.
+        self.longest = max(map(len, counts), default=0) + 2
         self._memo: dict[str, tuple[str, float, bool]] = {}
 
     def cost(self, word: str) -> float | None:
@@ -77,8 +83,6 @@ class Lexicon:
                                 found[r] = k
                                 new.append(r)
             edge = new
-            if len(edge) > 400:
-                break
         return found
 
     def read(self, token: str) -> tuple[str, float, bool]:
@@ -94,7 +98,7 @@ class Lexicon:
         signed = not token.isalpha()
         own = self.cost(token)
         best = (token, (self.unknown if own is None else own) + NO_LETTER * signed, False)
-        if len(token) < 4 or len(token) > 40 or own is not None and own < 9:
+        if len(token) < 4 or len(token) > self.longest or own is not None and own < 9:
             return best
         for r, k in self.readings(token, 2 if signed or len(token) > 6 else 1).items():
             if k and r.isalpha():
@@ -154,16 +158,22 @@ def lines_of(text: str) -> list[str]:
 
 
 def page_line(line: str) -> bool:
-    m = PAGE.match(line)
-    if not m or len(line) > 24:
+    m = PAGE.match(line) if line[-1:] in _PAGE_ENDS else None
+    if not m:
         return False
     return not (m.group(1) and m.group(3) and int(m.group(1)) > int(m.group(3)))
 
 
 def has_page_line(lines: list[str]) -> bool:
-    """Whether a page number stands among the two first or two last lines of a text that has others."""
-    near = [x for x in lines[:2] + lines[2:][-2:] if len(x) < 60]
-    return len(lines) > 1 and any(page_line(x if x.isascii() else plain(x)) for x in near)
+    """Whether a page number stands on a line of its own in a text that has others: among the two first or two last lines, or
+    further in between lines that belong to no list, table or junk."""
+    if len(lines) < 2:
+        return False
+    for i, x in enumerate(lines):
+        if page_line(x) if x.isascii() else _FEW_LETTERS.match(x) and page_line(plain(x)):
+            if i < 2 or i >= len(lines) - 2 or all(blocks.line_kind(lines[k]) in ("text", "page") for k in (i - 1, i + 1)):
+                return True
+    return False
 
 
 def halves(text: str, m: re.Match) -> tuple[str, str]:
@@ -205,7 +215,7 @@ def stream_operations(text: str, lexicon: Lexicon) -> list[tuple[int, int, str,
         if i < done:
             continue
         spans, seps = [(i, at[i])], []
-        m = _LEFT.search(low, max(0, i - 60), i)
+        m = _LEFT.search(low, max(0, i - lexicon.longest - 4), i)
         if m and m.start() >= done:
             spans.insert(0, m.span("word"))
             seps.append(_SEPARATORS[m.lastgroup])
@@ -273,13 +283,13 @@ def outer_lines(text: str) -> list[tuple[int, str, str]]:
     if len(lines) < 2:
         return out
     for place, line, beside in ((0, lines[0], lines[1]), (1, lines[-1], lines[-2])):
-        if len(line) > 110 or line[-1] in ".!?;" and not line[:-1].rstrip().isupper() and not re.search(r"\d\.$", line):
+        if line[-1] in ".!?;" and not line[:-1].rstrip().isupper() and not re.search(r"\d\.$", line):
             continue
         if blocks.line_kind(line) not in ("text", "toc") or line[:1].islower() and not line[:2].isupper():
             continue
         key = title_key(line)
         if len(key) >= 8:
-            out.append((place, key, beside[:80]))
+            out.append((place, key, beside))
     return out
 
 
@@ -499,6 +509,12 @@ def repaired_rows(df: DataFrame, lexicon: Lexicon, text: str = "content", keys:
     return rows.withColumn("repaired", repaired("given", F.coalesce("title_places", F.lit(0)))).drop("given", "title_places")
 
 
+def p3_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, pos, broken, misread, page_number, running_title, repaired) of every section, once each."""
+    sections = table(spark, folder, "sections")
+    return repaired_rows(sections, build_lexicon(sections))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, pos) of the sections with broken or misread words, running titles or page numbers."""
     sections = table(spark, folder, "sections")

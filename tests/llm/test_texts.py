@@ -135,6 +135,35 @@ def test_prose(text, prose):
     assert (blocks.prose_share(blocks.parse(text)) >= 0.5) is prose
 
 
+PLAIN = {"n_words": 100, "mean_word": 5.0, "symbols": 0.05, "line_ends": 0.5, "common": 0.4, "lines": 0.0, "paragraphs": 0.0, "runs": 0.0, "sentences": 0.7}
+
+
+@pytest.mark.parametrize(
+    ("change", "natural"),
+    [
+        ({}, True), ({"sentences": 0.49}, False), ({"symbols": 0.6}, False), ({"mean_word": 17.0}, False), ({"common": 0.01}, False), ({"common": 0.01, "n_words": 10}, True),
+        ({"lines": 0.9}, True), ({"lines": 0.9, "line_ends": 0.1}, False), ({"paragraphs": 0.9, "line_ends": 0.1}, False), ({"runs": 0.9, "line_ends": 0.1}, False),
+        ({"lines": 0.9, "line_ends": 0.1, "sentences": 0.9}, True),
+    ],
+)
+def test_each_rule_of_prose(change, natural):
+    assert quality.is_natural(**(PLAIN | change)) is natural
+
+
+def test_shares_of_runs_by_brute_force():
+    from collections import Counter
+
+    r = random.Random(3)
+    texts = [[r.choice(["a", "b", "cd", "efg", "hiiii"]) for _ in range(r.randrange(30))] for _ in range(200)]
+    got = quality.top_shares(texts)
+    for n in quality.RUNS:
+        for k, w in enumerate(texts):
+            runs = Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+            most = max((times * sum(map(len, g)) for g, times in runs.items() if times > 1), default=0)
+            assert got[n - 2][k] == pytest.approx(min(1.0, most / max(1, sum(map(len, w)))))
+    assert all(x.tolist() == [0.0] for x in quality.top_shares([[]])) and all(not len(x) for x in quality.top_shares([]))
+
+
 def test_statistics(spark):
     got = {r.doc_id: r for r in quality.text_statistics(frame(spark, ["The end. The end.\nThe end. The end.", TABLE])).collect()}
     a = got[0]
@@ -206,6 +235,27 @@ def test_plain_typing(text):
     assert not markup.has_marks(text)
 
 
+NOISE = "@^?%/ ,):;.:^:? ;;^^(^;^!: @@?%@ :((:!/^+^)+-)@)@@/^. )(/"
+
+
+@pytest.mark.parametrize(
+    ("text", "marks"),
+    [
+        (f"{NOISE}\n\nq *zz* k\n\n{NOISE}", 0), (f"{NOISE}\n\nq *zz* k\n\n{ENGLISH}", 1), ("q *zz* k", 1), (f"{NOISE}\n\nq *zz* k", 0), (f"{NOISE} *zz* {NOISE}", 0),
+        (f"{NOISE}\n\nq <b>z</b> k\n\n{NOISE}", 2), (f"{ENGLISH} *zz* and", 1),
+    ],
+)
+def test_weak_marks_in_junk_are_chance(text, marks):
+    """Short blocks are decided by their neighbours: without the second pass the first and the fourth case have a mark."""
+    assert markup.count_marks(text) == marks
+
+
+def test_blocks_inherit_labels():
+    links = "<a href=x>Home of the portal</a> <a href=y>News of it</a>"
+    assert markup.label_blocks([links, "All", links, "More", ENGLISH, "Less", NOISE, "q z"]) == ["bad", "bad", "bad", "good", "good", "good", "junk", "junk"]
+    assert markup.label_blocks([]) == [] and markup.label_blocks(["All"]) == ["good"]
+
+
 def test_marked_rows_and_boilerplate(spark):
     df = frame(spark, ["plain", "a **b** c", "<p><a href=x>Home</a> | <a href=y>News</a></p><p>" + ENGLISH + "</p>"])
     got = {r.doc_id: r for r in markup.marked_rows(df).collect()}
@@ -237,6 +287,11 @@ def test_scan_noise_in_words(text, broken, misread):
     assert (scans.has_break(text, lex), scans.has_misread(text, lex)) == (broken, misread)
 
 
+@pytest.mark.parametrize(("lines", "found"), [(["One goes on", "here and there", "— 5 —", "and goes on here", "to its", "end."], True), (["12"], False), (["K3B 4", "7 | 5", "12", "13", "8 | 9", "y z"], False), (["\u200b", "a b c"], False)])
+def test_page_numbers_between_lines(lines, found):
+    assert scans.has_page_line(lines) is found
+
+
 @pytest.mark.parametrize(("line", "is_page"), [("— 5 —", True), ("- 4 -", True), ("3 / 7", True), ("p. 5/7", True), ("Seite 2 von 5", True), ("Page 3", True), ("12", True), ("iv", True), ("6270/23", False), ("1024/15.", False), ("chapter 3", False)])
 def test_page_lines(line, is_page):
     assert scans.page_line(line) is is_page
