@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 # Unicode white space, and line ends.
 BLANKS = r"\t-\r\x1c-\x20\x85\xa0  -     　"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+#: Line ends but the line feed.
+OTHER_LINE_END = r"[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 WORD = r"[\p{L}\p{N}_]"
 
 

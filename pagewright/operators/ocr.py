@@ -9,7 +9,7 @@ from typing import Any, Protocol, runtime_checkable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.errors import OcrError
@@ -50,7 +50,14 @@ class Tesseract:
 
             opened = Image.open(io.BytesIO(image))
             dpi = opened.info.get("dpi")
-            pixels = prepare(np.array(opened.convert("L")), dpi[0] if isinstance(dpi, tuple) and dpi else 72)
+
+            def orientation(a: np.ndarray) -> int:
+                try:
+                    return int(pytesseract.image_to_osd(Image.fromarray(a), output_type=pytesseract.Output.DICT).get("rotate", 0))
+                except Exception:
+                    return 0
+
+            pixels = prepare(np.array(opened.convert("L")), dpi[0] if isinstance(dpi, tuple) and dpi else 72, orientation)
             return pytesseract.image_to_string(Image.fromarray(pixels), lang=languages, config=f"--oem 3 --psm {psm}")
         except Exception:
             return ""
@@ -59,33 +66,20 @@ class Tesseract:
         return "Install the program tesseract with its language files, and the packages pytesseract and Pillow."
 
 
-_BACKENDS: dict[str, Backend] = {}
-
-
-def register(backend: Backend, replace: bool = False) -> None:
-    if not backend.name:
-        raise ValueError("a backend needs a name")
-    if backend.name in _BACKENDS and not replace:
-        raise ValueError(f"there is a backend {backend.name!r} already")
-    _BACKENDS[backend.name] = backend
-
-
-def unregister(name: str) -> None:
-    _BACKENDS.pop(name, None)
-
-
-def backend(name: str) -> Backend:
-    try:
-        return _BACKENDS[name]
-    except KeyError:
-        raise OcrError(f"no backend {name!r}; there are: {', '.join(backends())}") from None
+class Backends(dict[str, Backend]):
+    """Engines by their names; asking for one that isn't there is an error of recognition."""
 
+    def __missing__(self, name: str) -> Backend:
+        raise OcrError(f"{name!r} is none of the backends: {', '.join(sorted(self))}")
 
-def backends() -> list[str]:
-    return sorted(_BACKENDS)
+    def add(self, engine: Backend, *, replace: bool = False) -> None:
+        taken = engine.name in self and not replace
+        if taken or not engine.name:
+            raise ValueError(f"{engine.name!r} is {'taken' if taken else 'no name'}")
+        self[engine.name] = engine
 
 
-register(Tesseract())
+BACKENDS = Backends(tesseract=Tesseract())
 
 
 def cache_key(payload: bytes, languages: str, psm: int) -> str:
@@ -105,28 +99,46 @@ def split_by_cache(images: DataFrame, cache: DataFrame) -> tuple[DataFrame, Data
 
 
 def recognise(images: DataFrame, options: Options, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(images with text, what is new for the cache) of rows with payload (binary) and page_idx; texts known for a key aren't worked out again.
+    """(images with text and cache_hit, what is new for the cache) of rows with payload (binary) and page_idx; texts known for a key aren't worked out again.
 
-    Every distinct key is recognised once and joined back. An unavailable backend leaves null.
+    Every distinct key is recognised once. Only keys pass through the joins with the cache; images meet the keys that are
+    still wanted, each key's image once. An unavailable backend leaves null.
     """
-    engine = backend(options.ocr_backend)
+    engine = BACKENDS[options.ocr_backend]
     psm = F.when(F.col("page_idx") == 0, F.lit(11)).otherwise(F.lit(options.ocr_psm))
     keyed = images.withColumn("cache_key", cache_key_column(F.col("payload"), F.lit(f"{engine.name}:{options.ocr_languages}"), psm)).withColumn("psm", psm)
-    known = cache if cache is not None and options.use_cache else images.sparkSession.createDataFrame([], "cache_key string, text string")
-    known = known.groupBy("cache_key").agg(F.first("text").alias("text"))
-    if not engine.is_available():
-        return keyed.join(known, "cache_key", "left").drop("psm"), known.limit(0)
-    languages = options.ocr_languages
+    known = cache.select("cache_key", "text") if cache is not None and options.use_cache else images.sparkSession.createDataFrame([], "cache_key string, text string")
+    known = known.groupBy("cache_key").agg(F.first("text").alias("text"), F.lit(True).alias("cache_hit"))
+    new = known.select("cache_key", "text").limit(0)
+    if engine.is_available():
+        languages = options.ocr_languages
 
-    @F.pandas_udf("string")
-    def read(payload: pd.Series, psm: pd.Series) -> pd.Series:
-        return pd.Series([engine.extract(bytes(p), languages=languages, psm=int(m)) for p, m in zip(payload, psm)], index=payload.index, dtype=object)
+        @F.pandas_udf("string")
+        def read(payload: pd.Series, psm: pd.Series) -> pd.Series:
+            return pd.Series([engine.extract(bytes(p), languages=languages, psm=int(m)) for p, m in zip(payload, psm)], index=payload.index, dtype=object)
 
-    pending = keyed.join(known, "cache_key", "left_anti").groupBy("cache_key").agg(F.first("payload").alias("payload"), F.first("psm").alias("psm"))
-    if options.workers:
-        pending = pending.repartition(options.workers)
-    new = pending.select("cache_key", read("payload", "psm").alias("text"))
-    return keyed.join(known.unionByName(new), "cache_key", "left").drop("psm"), new
+        wanted = keyed.select("cache_key").distinct().join(known, "cache_key", "left_anti")
+        pending = keyed.select("cache_key", "payload", "psm").join(wanted, "cache_key", "left_semi").dropDuplicates(["cache_key"])
+        if options.workers:
+            pending = pending.repartition(options.workers)
+        new = pending.select("cache_key", read("payload", "psm").alias("text"))
+    texts = known.unionByName(new.withColumn("cache_hit", F.lit(False)))
+    return keyed.drop("psm").join(texts, "cache_key", "left").withColumn("cache_hit", F.coalesce("cache_hit", F.lit(False))), new
+
+
+def read_cache(spark: SparkSession, folder: str, ttl_days: int = 90) -> DataFrame:
+    """(cache_key, text) of the texts that were kept in a folder within so many days; an empty table where there is none."""
+    kinds = "cache_key string, text string, kept_at timestamp"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], kinds).select("cache_key", "text")
+    kept = spark.read.schema(kinds).parquet(folder)
+    return kept.where(F.col("kept_at") >= F.current_timestamp() - F.make_interval(days=F.lit(ttl_days))).select("cache_key", "text")
+
+
+def keep_in_cache(new: DataFrame, folder: str) -> None:
+    """Appends new texts, empty ones too, to the folder."""
+    new.select("cache_key", "text", F.current_timestamp().alias("kept_at")).write.mode("append").parquet(folder)
 
 
 # Preparation of grey images (height x width, uint8).
@@ -151,8 +163,7 @@ def skew(a: np.ndarray, most: float = 10.0) -> float:
     ys, xs = np.nonzero(a <= otsu(a))
     if len(ys) * 2 < 100:
         return 0.0
-    step = max(1, len(ys) // 20_000)
-    ys, xs = ys[::step].astype(float), xs[::step].astype(float)
+    ys, xs = ys.astype(float), xs.astype(float)
     best, at = -1.0, 0.0
     for angle in np.arange(-most, most + 0.01, 0.25):
         rows = np.round(ys - xs * np.tan(np.radians(angle))).astype(int)
@@ -216,25 +227,19 @@ def median3(a: np.ndarray) -> np.ndarray:
 
 
 def crop_borders(a: np.ndarray, least: int = 10, dark: float = 50) -> np.ndarray:
-    """Cuts dark edges where any of them is at least so many pixels thick."""
-    h, w = a.shape
-    if h < 3 * least or w < 3 * least:
-        return a
-
-    def edge(means: np.ndarray) -> int:
-        light = np.flatnonzero(means >= dark)
-        return int(light[0]) if len(light) else 0
-
-    rows, cols = a.mean(axis=1), a.mean(axis=0)
-    top, bottom, left, right = edge(rows), edge(rows[::-1]), edge(cols), edge(cols[::-1])
-    if max(top, bottom, left, right) < least or top + bottom >= h or left + right >= w:
+    """The box around all rows and columns that aren't dark, where an edge outside it is at least so many pixels thick."""
+    box = []
+    for axis, size in ((1, a.shape[0]), (0, a.shape[1])):
+        light = np.flatnonzero(a.mean(axis=axis) >= dark) if size >= 3 * least else []
+        box.append((int(light[0]), int(light[-1]) + 1, size) if len(light) else (0, size, size))
+    if min(a.shape) < 3 * least or all(max(first, size - last) < least for first, last, size in box):
         return a
-    return a[top : h - bottom, left : w - right]
+    return a[box[0][0] : box[0][1], box[1][0] : box[1][1]]
 
 
 def rotate_quarter(a: np.ndarray, angle: int) -> np.ndarray:
-    """Undoes a turn by a multiple of 90 degrees, as an orientation detector reports it."""
-    return np.rot90(a, (angle // 90) % 4)
+    """Turned clockwise by a multiple of 90 degrees, which an orientation detector says would set the image upright."""
+    return np.rot90(a, -(angle // 90) % 4)
 
 
 def prepare(a: np.ndarray, dpi: float = 72, orientation: Any = None) -> np.ndarray:

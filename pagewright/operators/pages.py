@@ -93,17 +93,26 @@ def drop_empty(pages: DataFrame, least_words: int = 5) -> DataFrame:
     return pages.where(T.word_count(F.col("text")) >= least_words)
 
 
+def ends_open(t: Column) -> Column:
+    """Whether a text is filled and ends within a sentence."""
+    return ~T.is_blank(t) & ~T.rstrip(t).rlike(SENTENCE_END)
+
+
+def starts_within(t: Column) -> Column:
+    """Whether a text is filled and, a leading number apart, starts within a sentence."""
+    return ~T.is_blank(t) & F.regexp_replace(t, LEADING_NUMBER, "").rlike(GOES_ON)
+
+
 def goes_on(before: Column, text: Column) -> Column:
     """Whether text carries on the sentence of the page before; null before gives false."""
-    rest = F.regexp_replace(text, LEADING_NUMBER, "")
-    flag = ~T.is_blank(before) & ~T.is_blank(text) & ~T.rstrip(before).rlike(SENTENCE_END) & rest.rlike(GOES_ON)
-    return F.coalesce(flag, F.lit(False))
+    return F.coalesce(ends_open(before) & starts_within(text), F.lit(False))
 
 
 def mark_continuations(pages: DataFrame) -> DataFrame:
-    """Adds continuation, by the page kept before. Only the end of each page crosses to the next row."""
+    """Adds continuation, by the page kept before. Of each page only whether it ends open goes to the next row."""
     w = Window.partitionBy("doc_id").orderBy("page_idx")
-    return pages.withColumn("continuation", goes_on(F.lag("text").over(w), F.col("text")))
+    told = pages.withColumn("__open", ends_open(F.col("text"))).withColumn("__within", starts_within(F.col("text")))
+    return told.withColumn("continuation", F.coalesce(F.lag("__open").over(w) & F.col("__within"), F.lit(False))).drop("__open", "__within")
 
 
 def image_based(pages: DataFrame, options: Options = Options()) -> DataFrame:
@@ -148,15 +157,38 @@ def page_header(page_idx: Column, ocr_used: Column) -> Column:
     return F.concat(F.lit("Page "), (page_idx + 1).cast("string"), F.when(ocr_used, " (OCR)").otherwise(""))
 
 
-def page_plan(pages: DataFrame, options: Options = Options()) -> DataFrame:
-    """Sections from pages (doc_id, page_idx, text, ocr_text, n_images) in the order that later thresholds rely on:
-    recognised text, recurring lines, empty pages, detectors, continuation."""
+def _ready(pages: DataFrame, options: Options) -> DataFrame:
+    """Pages with recognised text, without recurring lines and without empty ones, in the order that later thresholds rely on."""
     text, used = coalesce_ocr(F.col("text"), F.col("ocr_text"), options)
     d = pages.select("doc_id", "page_idx", text.alias("text"), used.alias("ocr_used"))
     d = strip_headers_footers(d, options.header_footer_threshold)
-    if options.drop_empty_pages:
-        d = drop_empty(d, options.empty_page_min_words)
+    return drop_empty(d, options.empty_page_min_words) if options.drop_empty_pages else d
+
+
+def page_plan(pages: DataFrame, options: Options = Options()) -> DataFrame:
+    """Sections from pages (doc_id, page_idx, text, ocr_text, n_images): ready pages pass the detectors, then continuation is marked."""
+    d = _ready(pages, options)
     if options.smart_filter:
         d = classify_pages(d, options).where("not should_filter").select("doc_id", "page_idx", "text", "ocr_used")
     d = mark_continuations(d) if options.merge_continuations else d.withColumn("continuation", F.lit(False))
     return d.select("doc_id", F.col("page_idx").alias("pos"), page_header(F.col("page_idx"), F.col("ocr_used")).alias("header"), F.col("text").alias("content"), "continuation", "ocr_used")
+
+
+METRICS = ("page_count", "total_native_chars", "avg_chars_per_page", "total_images", "avg_images_per_page")
+
+
+def page_findings(pages: DataFrame, options: Options = Options()) -> DataFrame:
+    """(doc_id, image_based, image_based_metrics, filtered_pages, read_pages) of paged documents: null where there is nothing to tell.
+
+    filtered_pages are the numbers of the pages that the detectors left out, read_pages of those whose text was recognised.
+    """
+    _, used = coalesce_ocr(F.col("text"), F.col("ocr_text"), options)
+    read = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(used, (F.col("page_idx") + 1).cast("int")))).alias("read_pages"))
+    images = image_based(pages, options).select("doc_id", "image_based", F.when(F.col("image_based"), F.struct(*METRICS)).alias("image_based_metrics"))
+    found = read.join(images, "doc_id")
+    if not options.smart_filter:
+        return found.withColumn("filtered_pages", F.lit(None).cast("struct<toc:array<int>,bibliography:array<int>,sparse:array<int>>"))
+    kinds = ("toc", "bibliography", "sparse")
+    report = filter_report(classify_pages(_ready(pages, options), options))
+    some = F.size(F.concat(*kinds)) > 0
+    return found.join(report.select("doc_id", F.when(some, F.struct(*[F.col(k).cast("array<int>").alias(k) for k in kinds])).alias("filtered_pages")), "doc_id", "left")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
+from pagewright.operators.pages import METRICS
 
 # The figures in the order in which they are written.
 FIGURES = (
@@ -13,7 +16,7 @@ FIGURES = (
     "tokens_original_estimated", "tokens_reduction_percent", "tokens_input_estimated", "tokens_input_reduction_percent",
 )
 #: Texts that YAML would read as something else, or that need quotes to be read at all.
-_NEEDS_QUOTES = (
+NEEDS_QUOTES = (
     r"(?i)\A(?:|[-?:]|[-?:] .*|[,\[\]{}#&*!|>'\"%@`].*|.*: .*|.* #.*|.*:|\s.*|.*\s|~|null|yes|no|on|off|true|false|y|n|[-+.\d][\d_.:,eE+\-TZ]*|[-+]?0[xob][\da-f_]+|[-+]?\.(?:inf|nan)|---.*|=|<<)\z"
 )
 
@@ -21,7 +24,7 @@ _NEEDS_QUOTES = (
 def yaml_text(t: Column) -> Column:
     """A text as a YAML scalar: plain, in single quotes where needed, in double ones with control characters."""
     single = F.concat(F.lit("'"), F.replace(t, F.lit("'"), F.lit("''")), F.lit("'"))
-    return F.when(t.rlike(r"[\x00-\x1f\x7f\x85  ]"), F.to_json(F.array(t)).substr(F.lit(2), F.length(F.to_json(F.array(t))) - 2)).when(t.rlike(_NEEDS_QUOTES), single).otherwise(t)
+    return F.when(t.rlike(r"[\x00-\x1f\x7f\x85  ]"), F.to_json(F.array(t)).substr(F.lit(2), F.length(F.to_json(F.array(t))) - 2)).when(t.rlike(NEEDS_QUOTES), single).otherwise(t)
 
 
 def number_text(c: Column) -> Column:
@@ -34,7 +37,7 @@ def yaml_list(a: Column, indent: str = "") -> Column:
 
 
 def front_matter(df: DataFrame, extracted_at: Column) -> Column:
-    """YAML lines of a document row; optional columns filtered_pages (struct toc, bibliography, sparse) and image_based add theirs."""
+    """YAML lines of a document row; optional columns filtered_pages, image_based and image_based_metrics (see page_findings) add theirs."""
     parts = [
         F.concat(F.lit("source: "), yaml_text(F.col("source"))),
         F.concat(F.lit("type: "), yaml_text(F.col("source_type"))),
@@ -54,6 +57,9 @@ def front_matter(df: DataFrame, extracted_at: Column) -> Column:
         parts.append(F.when(some != "", F.concat(F.lit("filtered_pages:\n"), some)))
     if "image_based" in df.columns:
         parts.append(F.when(F.col("image_based"), F.lit("image_based: true")))
+    if "image_based_metrics" in df.columns:
+        lines = [F.concat(F.lit(f"  {m}: "), number_text(F.col("image_based_metrics")[m])) for m in METRICS]
+        parts.append(F.when(F.col("image_based") & F.col("image_based_metrics").isNotNull(), F.concat_ws("\n", F.lit("image_based_metrics:"), *lines)))
     return F.concat_ws("\n", *parts)
 
 
@@ -105,18 +111,23 @@ def output_name(source: Column, key: Column, kind: str) -> Column:
 
 
 def write_files(df: DataFrame, folder: str, kind: str) -> None:
-    """One file per document by the executors, each written under another name first, so that a task may run twice."""
-    rows = df.select(output_name(F.col("source"), F.col("doc_id"), kind).alias("name"), "output")
-
-    def save(part):
-        import os
-        import uuid
-
-        os.makedirs(folder, exist_ok=True)
-        for r in part:
-            at = os.path.join(folder, f".{uuid.uuid4().hex}")
-            with open(at, "w", encoding="utf-8", newline="") as f:
-                f.write(r.output)
-            os.replace(at, os.path.join(folder, r.name))
-
-    rows.foreachPartition(save)
+    """One file per document in a folder of any file system that Spark knows; every file ends with a line end.
+
+    Spark's committer makes the outputs whole or not at all, one folder a document beside the others; the driver then only
+    renames them, so no text passes through it. Names hold the document's id, so no two documents meet.
+    """
+    spark = df.sparkSession
+    path, unescape = spark._jvm.org.apache.hadoop.fs.Path, spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    beside = f"{folder.rstrip('/')}/.{uuid.uuid4().hex}"
+    value = F.regexp_replace("output", "\n\\z", "")
+    rows = df.select(output_name(F.col("source"), F.col("doc_id"), kind).alias("name"), value.alias("value"))
+    try:
+        rows.write.option("lineSep", "\n").partitionBy("name").text(beside)
+        for d in (d for d in files.listStatus(path(beside)) if d.isDirectory()):
+            target = path(folder, unescape(d.getPath().getName().removeprefix("name=")))
+            for part in files.listStatus(d.getPath()):
+                files.delete(target, False)
+                files.rename(part.getPath(), target)
+    finally:
+        files.delete(path(beside), True)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable
+from functools import lru_cache
+from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
+from pagewright.session import cut_lineage
 
 CHARS_PER_TOKEN = 4
 
@@ -59,6 +64,45 @@ def savings(df: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     return df.select(*keys, F.inline(rows))
 
 
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """df with number, from 1 in that order, and total, as a batch reports its progress.
+
+    No task ever sees all rows: sorted partitions are numbered by themselves, and the sizes of the partitions before, one
+    row each, are added.
+    """
+    ordered = cut_lineage(df.orderBy(*order).select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__id")))
+    sizes = ordered.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("__first"))
+    listed = sizes.agg(F.array_sort(F.collect_list(F.struct("__part", "n"))).alias("all"))  # as many as there are partitions
+    before = F.aggregate(F.filter("all", lambda x: x["__part"] < F.col("__part")), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+    total = F.aggregate("all", F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+    starts = sizes.crossJoin(F.broadcast(listed)).select("__part", "__first", before.alias("__before"), total.alias("total"))
+    numbers = ordered.join(F.broadcast(starts), "__part")
+    return numbers.select(*df.columns, (F.col("__before") + F.col("__id") - F.col("__first") + 1).alias("number"), "total")
+
+
+def count_tokens(t: Column, vocabulary: str, pattern: str) -> Column:
+    """Tokens of a text by a vocabulary of byte ranks, one base64 string and rank a line; special tokens' strings are ordinary text.
+
+    The file is read on the driver and sent to the executors, where each worker builds its encoder once.
+    """
+    data = Path(vocabulary).read_bytes()
+
+    @F.pandas_udf("bigint")
+    def run(s: pd.Series) -> pd.Series:
+        encode = _encoder(data, pattern).encode_ordinary
+        return s.map(lambda x: len(encode(x)), na_action="ignore").astype("Int64")
+
+    return run(t)
+
+
+@lru_cache(maxsize=2)
+def _encoder(data: bytes, pattern: str):
+    import tiktoken
+
+    ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line.strip())}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 def recap(results: DataFrame) -> DataFrame:
     """One row: files, successes, sums before and after and gains to one decimal; failed files (error not null) count as zeros."""
 

@@ -98,10 +98,20 @@ def dedup_paragraphs(t: Column, least: int = 3) -> Column:
     return _only(F.contains(t, F.lit("\n\n")), _let(F.split(t, "\n\n", -1), rebuilt), t)
 
 
+#: Blanks within a line; a line of three or more characters, blanks at its ends apart, without a letter or digit.
+_INNER = r"[\t\x1f \xa0\u1680\u2000-\u200a\u202f\u205f\u3000]*"
+_SIGN = r"[^\p{L}\p{N}\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_PUNCTUATION = rf"{_INNER}{_SIGN}[^\p{{L}}\p{{N}}\n]{{2,}}(?<={_SIGN}){_INNER}"
+
+
 def strip_punctuation_lines(t: Column) -> Column:
-    """Drops lines of three or more characters without a letter or digit; ends every line with one line feed."""
-    kept = F.filter(T.lines(t), lambda x: x.rlike(r"[\p{L}\p{N}]") | (F.length(T.strip(x)) < 3))
-    return F.array_join(kept, "\n")
+    """Drops lines of three or more characters without a letter or digit; ends every line with one line feed.
+
+    One expression finds texts that have such a line, and only these are rewritten by another: nothing is split into lines.
+    """
+    feeds = _only(t.rlike(T.OTHER_LINE_END), F.regexp_replace(t, T.LINE_END, "\n"), t)
+    ended = _only(F.endswith(feeds, F.lit("\n")), F.left(feeds, F.length(feeds) - 1), feeds)
+    return _let(ended, lambda x: _only(x.rlike(rf"(?md)^{_PUNCTUATION}$"), F.regexp_replace(x, rf"(?md)(?:\n{_PUNCTUATION})+\z|^{_PUNCTUATION}(?:\n|\z)", ""), x))
 
 
 def finalize(t: Column) -> Column:

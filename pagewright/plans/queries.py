@@ -382,21 +382,37 @@ def render_markdown_body(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("doc_id", F.regexp_replace("output", r"(?s)\A---\n.*?\n---\n\n?", "").alias("body"))
 
 
-@query()
+_BODY = f"array_to_string(list_concat(CASE WHEN coalesce(title, '') <> '' THEN ['# ' || title] ELSE [] END, list_filter(flatten(list_transform(range(1, len(headers) + 1), lambda i: [CASE WHEN headers[i] <> '' AND NOT goes[i] THEN '## ' || headers[i] ELSE '' END, {sql.strip('contents[i]')}])), lambda p: p <> '')), chr(10) || chr(10))"
+_NUMBERS = (
+    f"n AS (SELECT *, strlen(cleaned)::BIGINT AS cleaned_size_bytes, length(original)::BIGINT AS original_chars, length(cleaned)::BIGINT AS cleaned_chars, {sql.tokens('cleaned')} AS tokens_estimated,"
+    f" {sql.tokens('original')} AS tokens_original_estimated, (original_size_bytes // 4)::BIGINT AS tokens_input_estimated, {_BODY} AS body FROM j), q AS (SELECT *, {sql.percent('cleaned_size_bytes', 'original_size_bytes')} AS reduction_percent,"
+    f" {sql.percent('tokens_estimated', 'tokens_original_estimated')} AS tokens_reduction_percent, {sql.percent('tokens_estimated', 'tokens_input_estimated')} AS tokens_input_reduction_percent FROM n)"
+)
+_LANGUAGE = "coalesce(language, '')"
+_HEAD = " || chr(10) || ".join(
+    [
+        "'---'", f"'source: ' || {sql.yaml_text('source')}", f"'type: ' || {sql.yaml_text('source_type')}", f"'extracted_at: ' || chr(39) || '{EXTRACTED_AT}' || chr(39)", "'ocr_used: ' || ocr_used",
+        "'ocr_pages:' || CASE WHEN len(ocr_pages) > 0 THEN chr(10) || '- ' || array_to_string(ocr_pages, chr(10) || '- ') ELSE ' []' END", f"'language: ' || {sql.yaml_text(_LANGUAGE)}", "'stats:'",
+        *(f"'  {f}: ' || {f}" for f in render.FIGURES), "'---' || chr(10)",
+    ]
+)
+
+
+@query(_BY_DOC + f", {_NUMBERS} SELECT doc_id, {_HEAD} || CASE WHEN body = '' THEN '' ELSE chr(10) || body || chr(10) END AS output FROM q")
 def render_markdown(spark: SparkSession, folder: str) -> DataFrame:
     return render.render(documents_with_sections(spark, folder), "md", F.lit(EXTRACTED_AT)).select("doc_id", "output")
 
 
 @query(
     _BY_DOC
-    + f" SELECT doc_id, source, title, len(headers)::INTEGER AS n_sections, {sql.tokens('cleaned')} AS tokens FROM j"
+    + f" SELECT doc_id, source, title, len(headers)::INTEGER AS n_sections, {sql.tokens('cleaned')} AS tokens, array_to_string(headers, '|') AS headers, array_to_string(contents, '|') AS contents FROM j"
 )
 def render_json(spark: SparkSession, folder: str) -> DataFrame:
     """Fields read back from the JSON output."""
     d = render.render(documents_with_sections(spark, folder), "json", F.lit(EXTRACTED_AT))
     schema = "source string, title string, sections array<struct<header:string,content:string>>, stats struct<tokens_estimated:bigint>"
     d = d.select("doc_id", F.from_json("output", schema).alias("o"))
-    return d.select("doc_id", "o.source", "o.title", F.size("o.sections").alias("n_sections"), F.col("o.stats.tokens_estimated").alias("tokens"))
+    return d.select("doc_id", "o.source", "o.title", F.size("o.sections").alias("n_sections"), F.col("o.stats.tokens_estimated").alias("tokens"), F.array_join("o.sections.header", "|").alias("headers"), F.array_join("o.sections.content", "|").alias("contents"))
 
 
 @query(
@@ -433,7 +449,7 @@ def event_log_rollup(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def html_to_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """Sections with HTML through the file reader."""
-    d = table(spark, folder, "sections").where("contains(content, '<h2>') or contains(content, '<p>') or contains(content, '<P>')")
+    d = table(spark, folder, "sections").where(F.col("content").rlike(r"(?i)<(?:[a-z][a-z0-9]*\b[^<>]*|/[a-z][a-z0-9]*\s*)>"))
     d = d.select("doc_id", "pos", "content").distinct()
     named = d.select(F.concat_ws("/", F.col("doc_id").cast("string"), F.concat(F.col("pos").cast("string"), F.lit(".html"))).alias("path"), F.col("content").cast("binary").alias("content"))
     got = files.extract(named)
@@ -441,16 +457,37 @@ def html_to_markdown(spark: SparkSession, folder: str) -> DataFrame:
     return got.select(parts[0].cast("bigint").alias("doc_id"), parts[1].cast("int").alias("pos"), F.col("sections")[0]["content"].alias("content"))
 
 
-@query()
-def csv_to_markdown(spark: SparkSession, folder: str) -> DataFrame:
-    """Nations as files of comma-separated values, by region, through the file reader."""
-    rows = table(spark, folder, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.concat_ws(",", F.col("n_nationkey").cast("string"), F.concat(F.lit('"'), "n_name", F.lit('"'))))).alias("rows"))
-    named = rows.select(F.concat(F.col("n_regionkey").cast("string"), F.lit(".csv")).alias("path"), F.array_join("rows", "\n").cast("binary").alias("content"))
-    return files.extract(named).select("path", F.col("sections")[0]["header"].alias("header"), F.col("sections")[0]["content"].alias("content"), "encoding", "error")
+_PLANNED = (
+    f"WITH {sql.PAGES.replace('pages AS', 'whole AS', 1)}, {_NATIVE.replace('FROM pages', 'FROM whole')}, u AS (SELECT doc_id, page_idx, length({sql.strip('text')}) < 50 AND NOT ({sql.blank('ocr_text')}) AS used, text, ocr_text FROM native),"
+    f" pages AS (SELECT doc_id, page_idx, CASE WHEN used THEN ocr_text ELSE text END AS text FROM u), {sql.STRIPPED.removeprefix(sql.PAGES + ', ')}, full_pages AS (SELECT * FROM stripped WHERE {sql.word_count('text')} >= 5),"
+    f" {sql.classified('full_pages')}, k AS (SELECT doc_id, page_idx, text FROM cls WHERE NOT is_toc AND NOT is_bibliography AND NOT is_sparse),"
+    " l AS (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY page_idx) AS before FROM k)"
+)
 
 
-@query()
+@query(
+    _PLANNED + f" SELECT doc_id, page_idx AS pos, 'Page ' || (page_idx + 1) || CASE WHEN used THEN ' (OCR)' ELSE '' END AS header, l.text AS content, {sql.goes_on('before', 'l.text')} AS continuation FROM l JOIN u USING (doc_id, page_idx)"
+)
 def smart_page_plan(spark: SparkSession, folder: str) -> DataFrame:
     """The page operators in their order, with all detectors."""
     p = native_pages(spark, folder).withColumn("n_images", F.lit(0))
     return pages.page_plan(p, Options(smart_filter=True)).select("doc_id", "pos", "header", "content", "continuation")
+
+
+@query(
+    _PLANNED
+    + ", f AS (SELECT doc_id, "
+    + ", ".join(f"coalesce(string_agg((page_idx + 1)::VARCHAR, ',' ORDER BY page_idx) FILTER (WHERE {w}), '') AS {k}" for k, w in (("toc", "is_toc"), ("bibliography", "is_bibliography AND NOT is_toc"), ("sparse", "is_sparse")))
+    + f" FROM cls GROUP BY 1), g AS (SELECT doc_id, count(*) AS n, sum(length({sql.strip('text')})) AS chars, string_agg((page_idx + 1)::VARCHAR, ',' ORDER BY page_idx) FILTER (WHERE used) AS read_pages FROM u GROUP BY 1)"
+    " SELECT doc_id, n >= 3 AND chars::DOUBLE / n < 100 AS image_based, CASE WHEN n >= 3 AND chars::DOUBLE / n < 100 THEN round_even(chars::DOUBLE / n, 1) END AS avg_chars, coalesce(read_pages, '') AS read_pages,"
+    " nullif(coalesce(toc, '') || ';' || coalesce(bibliography, '') || ';' || coalesce(sparse, ''), ';;') AS filtered FROM g LEFT JOIN f USING (doc_id)"
+)
+def page_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """What a document's pages tell its front matter, with two images on each page."""
+    d = pages.page_findings(native_pages(spark, folder).withColumn("n_images", F.lit(2)), Options(smart_filter=True))
+    kinds = [F.array_join(F.col("filtered_pages")[k].cast("array<string>"), ",") for k in ("toc", "bibliography", "sparse")]
+    filtered = F.when(F.col("filtered_pages").isNotNull(), F.concat_ws(";", *kinds))
+    return d.select("doc_id", "image_based", F.col("image_based_metrics")["avg_chars_per_page"].alias("avg_chars"), F.array_join(F.col("read_pages").cast("array<string>"), ",").alias("read_pages"), filtered.alias("filtered"))
+
+
+from pagewright.plans import source_queries  # noqa: E402, F401  registers its queries

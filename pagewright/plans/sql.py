@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import unicodedata
 
+from pagewright.operators.render import NEEDS_QUOTES as YAML_QUOTED
+
+# The same patterns and thresholds as in operators/pages.py, in the syntax of RE2.
 BLANKS = "\t-\r\x1c-\x20\x85\xa0  -     　"
 LF, CR = "chr(10)", "chr(13)"
 
@@ -169,6 +172,11 @@ def goes_on(before: str, text: str) -> str:
     return f"coalesce(NOT ({blank(before)}) AND NOT ({blank(text)}) AND NOT regexp_matches({end}, {quoted(SENTENCE_END)}) AND regexp_matches({rest}, {quoted(GOES_ON)}), false)"
 
 
+def yaml_text(x: str) -> str:
+    """A text as a YAML scalar, for texts without control characters."""
+    return f"CASE WHEN regexp_matches({x}, {quoted(YAML_QUOTED)}) THEN chr(39) || replace({x}, chr(39), chr(39) || chr(39)) || chr(39) ELSE {x} END"
+
+
 def size_text(n: str, units: tuple[str, ...] = ("B", "KB", "MB", "GB", "TB")) -> str:
     arms = [f"WHEN {n} < {1024.0 ** (k + 1)} THEN printf('%.1f', round_even({n} / {1024.0**k}, 1)) || ' {u}'" for k, u in enumerate(units[:-1])]
     return f"CASE {' '.join(arms)} ELSE printf('%.1f', round_even({n} / {1024.0 ** (len(units) - 1)}, 1)) || ' {units[-1]}' END"

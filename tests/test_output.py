@@ -7,7 +7,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from pagewright import errors, options
+from pagewright import errors, events, options
 from pagewright.functions import text as T
 from pagewright.operators import ocr, render, stats, tabular
 
@@ -96,7 +96,7 @@ class Fake:
 
 
 def test_recognition_uses_the_cache(spark):
-    ocr.register(Fake(), replace=True)
+    ocr.BACKENDS.add(Fake(), replace=True)
     try:
         o = options.Options(ocr_backend="fake", ocr_languages="eng")
         images = spark.createDataFrame([(1, 0, bytearray(b"abc")), (1, 1, bytearray(b"abc")), (2, 1, bytearray(b"abc")), (2, 2, bytearray(b"wxyz"))], "doc_id int, page_idx int, payload binary")
@@ -105,15 +105,40 @@ def test_recognition_uses_the_cache(spark):
         assert sorted((r.doc_id, r.page_idx, r.text) for r in done.collect()) == [(1, 0, "3:eng:11"), (1, 1, "3:eng:6"), (2, 1, "3:eng:6"), (2, 2, "known")]
         assert new.count() == 2
     finally:
-        ocr.unregister("fake")
+        ocr.BACKENDS.pop("fake")
 
 
 def test_backends():
     with pytest.raises(errors.OcrError):
-        ocr.backend("none")
+        ocr.BACKENDS["none"]
     with pytest.raises(ValueError):
-        ocr.register(ocr.backend("tesseract"))
-    assert "tesseract" in ocr.backends() and isinstance(ocr.backend("tesseract"), ocr.Backend)
+        ocr.BACKENDS.add(ocr.Tesseract())
+    assert "tesseract" in ocr.BACKENDS and isinstance(ocr.BACKENDS["tesseract"], ocr.Backend)
+
+
+def test_tokens_by_vocabulary(spark, tmp_path):
+    import base64
+
+    pytest.importorskip("tiktoken")
+    ranks = [bytes([b]) for b in range(256)] + [b"ab", b"abab"]
+    (tmp_path / "v.ranks").write_bytes(b"\n".join(base64.b64encode(r) + f" {i}".encode() for i, r in enumerate(ranks)))
+    df = spark.createDataFrame([("abab c",), ("",), (None,), ("é",)], "t string")
+    assert [r[0] for r in df.select(stats.count_tokens(F.col("t"), str(tmp_path / "v.ranks"), r"\S+|\s+")).collect()] == [3, 0, None, 2]
+
+
+def test_numbered(spark):
+    df = spark.createDataFrame([(i * 7 % 50, i) for i in range(50)], "a int, number_of int").repartition(5)
+    got = stats.numbered(df, "a").collect()
+    assert sorted((r.a, r.number, r.total) for r in got) == [(i, i + 1, 50) for i in range(50)]
+    assert stats.numbered(df.limit(0), "a").count() == 0
+
+
+def test_event_lines(spark):
+    rows = [("t", "INFO", "l", "e", "m", {"k": "1", "z": "x"}, None), ("t", "ERROR", "l", "f", "m", {}, "X: y")]
+    df = spark.createDataFrame(rows, events.SCHEMA)
+    assert [json.loads(r.value) for r in events.json_line(df).collect()] == [{"ts": "t", "level": "INFO", "logger": "l", "event": "e", "module": "m", "data": {"k": "1", "z": "x"}}, {"ts": "t", "level": "ERROR", "logger": "l", "event": "f", "module": "m", "exc": "X: y"}]
+    assert [r.value for r in events.key_values(df).collect()] == ["e k=1 z=x", "f"]
+    assert [r.event for r in events.at_least(df, "WARNING").collect()] == ["f"]
 
 
 def test_cache_key_in_both_worlds(spark):

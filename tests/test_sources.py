@@ -146,19 +146,80 @@ def test_whole_way(spark, tmp_path):
 
 def test_command_line(tmp_path, capsys, spark):
     from pagewright.cli import main
+    from pagewright.events import read_events
 
     (tmp_path / "a.txt").write_text("hello  world")
-    out = tmp_path / "out"
-    log = tmp_path / "log" / "x.jsonl"
+    out, log = tmp_path / "out", tmp_path / "log" / "x.jsonl"
     assert main([str(tmp_path / "a.txt"), "--format", "txt", "--out", str(out), "--log-file", str(log)]) == 0
     assert [p.read_text() for p in out.iterdir() if p.name.endswith(".clean.txt")] == ["hello world\n"]
-    from pagewright.events import read_events
-
-    assert read_events(spark, str(log)).first().event == "extraction_complete"
+    shown = capsys.readouterr()
+    assert "metric" in shown.err and "12.0 B" in shown.err and "extraction" not in shown.err
+    told = read_events(spark, str(log)).collect()
+    assert [r.event for r in told] == ["extraction_start", "extraction_complete", "cleaning_pipeline_complete"]
+    assert told[1].data["cleaned_chars"] == "11" and told[0].data["extension"] == ".txt" and told[0].exc is None
     assert main([str(tmp_path / "a.txt"), "--no-ocr", "--force-ocr"]) == 2
     assert main([str(tmp_path / "a.txt"), "--quiet", "--verbose"]) == 2
 
 
+def test_command_line_failures(tmp_path, capsys):
+    from pagewright.cli import main
+
+    assert main([str(tmp_path / "none.txt")]) == 1
+    (tmp_path / "b.docx").write_bytes(b"broken")
+    assert main([str(tmp_path / "b.docx"), "--quiet"]) == 1
+    shown = capsys.readouterr()
+    assert shown.err.count("extraction_failed") == 1 and shown.out == ""
+    with pytest.raises(SystemExit):
+        main([str(tmp_path / "b.docx"), "--psm", "14"])
+
+
+def test_profile_measures_the_sections_that_were_cleaned(tmp_path, capsys):
+    from pagewright.cli import main
+
+    (tmp_path / "a.md").write_text("a  b\n\n\n\nc", encoding="utf-8")
+    assert main([str(tmp_path / "a.md"), "--profile"]) == 0
+    assert "collapse_whitespace" in capsys.readouterr().err
+
+
+def test_images_are_recognised_once(spark, tmp_path):
+    from pagewright import events
+    from pagewright.operators import ocr
+    from pagewright.options import Options
+    from pagewright.plans import samples
+    from pagewright.plans.process import process_files
+
+    ocr.BACKENDS.add(samples.LengthReader(), replace=True)
+    options = Options(ocr_backend="length", ocr_languages="fra")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.png").write_bytes(b"12345")
+    (tmp_path / "in" / "b.jpg").write_bytes(b"12345")
+    cache = str(tmp_path / "cache")
+    for hits in (0, 1):
+        done = process_files(spark, str(tmp_path / "in"), options, "txt", extracted_at="", cache_folder=cache)
+        got = {r.source: r for r in done.collect()}
+        assert set(got) == {"a.png", "b.jpg"} and all(r.ocr_used and r.ocr_pages == [1] and r.language == "fra" and r.ocr_hits == hits for r in got.values())
+        assert got["a.png"].output == "Texte extrait (OCR)\n\n5 bytes, fra, 6\n"
+        assert ocr.read_cache(spark, cache).count() == 1
+        told = sorted(r.event for r in events.of_documents(done, 10).where("data['path'] = 'a.png'").collect())
+        assert told == sorted(["extraction_start", "extraction_complete", "cleaning_pipeline_complete", "ocr_start", "ocr_complete", "ocr_cache_hit" if hits else "ocr_cache_miss"])
+    assert ocr.read_cache(spark, cache, 0).count() == 0 and ocr.read_cache(spark, str(tmp_path / "none")).count() == 0
+    off = process_files(spark, str(tmp_path / "in"), Options(ocr_backend="length", no_ocr=True), "txt", extracted_at="").first()
+    assert not off.ocr_used and off.output == "\n"
+    assert "ocr_skipped" in [r.event for r in events.of_documents(process_files(spark, str(tmp_path / "in"), Options(no_ocr=True), extracted_at=""), 10).collect()]
+
+
+def test_pages_tell_the_front_matter(spark, tmp_path, monkeypatch):
+    from pagewright.options import Options
+    from pagewright.plans.process import process_files
+
+    pages = [(0, "Sommaire\nUn ..... 1", None, 3), (1, " ".join(["mot"] * 40) + ".", None, 3), (2, "two words", None, 3), (3, "one two three four five six", None, 3)]
+    (tmp_path / "a.txt").write_text("x")
+    monkeypatch.setattr(files, "extract", lambda df, options: spark.createDataFrame([{"path": "a.txt", "source": "a.txt", "source_type": "pdf", "original_size_bytes": 9, "ocr_used": False, "ocr_pages": [], "sections": [], "images": [], "pages": [dict(zip(("page_idx", "text", "ocr_text", "n_images"), p)) for p in pages]}], files.SCHEMA))
+    row = process_files(spark, str(tmp_path / "a.txt"), Options(smart_filter=True, empty_page_min_words=3), extracted_at="").first()
+    assert "filtered_pages:\n  toc:\n  - 1\n  sparse:\n  - 4\nimage_based: true\nimage_based_metrics:\n  page_count: 4\n  total_native_chars: " in row.output
+    assert row.image_based_reason == "the backend is not available" and [s.header for s in row.sections] == ["Page 2"]
+
+
 def test_stream(spark, tmp_path):
     from pagewright.streaming import clean as stream
 
