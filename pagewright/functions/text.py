@@ -17,14 +17,18 @@ OTHER_LINE_END = r"[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 WORD = r"[\p{L}\p{N}_]"
 
 
+#: The blanks one by one.
+_EACH_BLANK = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def strip(t: Column) -> Column:
-    """Without white space at either end; texts without any there aren't searched."""
+    """Without white space at either end; texts without any there stay as they are."""
     outer = F.concat(F.left(t, F.lit(1)), F.right(t, F.lit(1)))
-    return F.when(outer.rlike(f"[{BLANKS}]"), F.regexp_replace(t, rf"\A[{BLANKS}]+|[{BLANKS}]+\z", "")).otherwise(t)
+    return F.when(outer.rlike(f"[{BLANKS}]"), F.trim(t, F.lit(_EACH_BLANK))).otherwise(t)
 
 
 def rstrip(t: Column) -> Column:
-    return F.when(F.right(t, F.lit(1)).rlike(f"[{BLANKS}]"), F.regexp_replace(t, rf"[{BLANKS}]+\z", "")).otherwise(t)
+    return F.when(F.right(t, F.lit(1)).rlike(f"[{BLANKS}]"), F.rtrim(t, F.lit(_EACH_BLANK))).otherwise(t)
 
 
 def is_blank(t: Column) -> Column:
@@ -33,8 +37,10 @@ def is_blank(t: Column) -> Column:
 
 def lines(t: Column) -> Column:
     """The lines of a text; a line end at the very end starts no further line, and an empty text has none."""
-    parts = F.split(t, LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    def but_last(parts: Column) -> Column:
+        return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+    return F.transform(F.array(F.split(t, LINE_END, -1)), but_last)[0]  # the text is split once
 
 
 def word_count(t: Column) -> Column:

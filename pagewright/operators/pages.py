@@ -31,19 +31,22 @@ def page_lines(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page_idx", F.posexplode(T.lines(F.col("text"))).alias("pos", "raw")).withColumn("line", T.strip(F.col("raw")))
 
 
-def outer_lines(pages: DataFrame) -> DataFrame:
-    """Distinct (doc_id, page_idx, line) of the first and last filled lines of each page, cut inside the row: no window and no sort."""
-    filled = F.filter(F.transform(T.lines(F.col("text")), T.strip), lambda x: x != "")
-    both = F.array_union(F.slice(filled, 1, OUTER_LINES), F.slice(F.reverse(filled), 1, OUTER_LINES))
-    return pages.select("doc_id", "page_idx", F.explode(both).alias("line"))
+def outer_lines(text: Column) -> Column:
+    """The distinct first and last filled lines of a page as an array, cut inside the row: no window and no sort."""
+    filled = F.filter(F.transform(T.lines(text), T.strip), lambda x: x != "")
+    return F.array_union(F.slice(filled, 1, OUTER_LINES), F.slice(F.reverse(filled), 1, OUTER_LINES))
 
 
 def recurring_lines(pages: DataFrame, threshold: float = 0.30) -> DataFrame:
-    """(doc_id, line, n_pages) of outer lines on enough pages of a document with three pages or more; blank pages count as pages."""
-    sizes = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"))
-    counted = outer_lines(pages).groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("n_pages"))
+    """(doc_id, line, n_pages) of outer lines on enough pages of a document with three pages or more; blank pages count as pages.
+
+    Pages are counted along with the lines, as an empty line of each page, so that they are read once; only counts meet by document.
+    """
+    lines = pages.select("doc_id", F.explode(F.concat(F.array(F.lit("")), outer_lines(F.col("text")))).alias("line"))
+    counted = lines.groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("n_pages")).where("n_pages >= 2")
+    total = F.max(F.when(F.col("line") == "", F.col("n_pages"))).over(Window.partitionBy("doc_id"))
     enough = F.greatest(F.lit(2), F.floor(F.col("total") * F.lit(threshold)))
-    return counted.where("n_pages >= 2").join(sizes, "doc_id").where((F.col("total") >= 3) & (F.col("n_pages") >= enough)).select("doc_id", "line", "n_pages")
+    return counted.withColumn("total", total).where((F.col("line") != "") & (F.col("total") >= 3) & (F.col("n_pages") >= enough)).select("doc_id", "line", "n_pages")
 
 
 def strip_headers_footers(pages: DataFrame, threshold: float = 0.30) -> DataFrame:

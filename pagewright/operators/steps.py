@@ -47,8 +47,11 @@ def convert_ligatures(t: Column) -> Column:
 
 
 def rejoin_hyphenated(t: Column) -> Column:
-    """Joins words broken by a hyphen at a line end; the second break of a chain stays, as matches don't overlap."""
-    return _only(F.contains(t, F.lit("-\n")), F.regexp_replace(t, rf"({T.WORD}+)-\n({T.WORD}+)", "$1$2"), t)
+    """Joins words broken by a hyphen at a line end; of breaks that follow each other in one word every second stays.
+
+    A match begins at the hyphen, so words are not tried one letter after the other, and takes the next break along as it is.
+    """
+    return _only(F.contains(t, F.lit("-\n")), F.regexp_replace(t, rf"(?<={T.WORD})-\n({T.WORD}++(?:-\n)?)", "$1"), t)
 
 
 def collapse_whitespace(t: Column) -> Column:
@@ -107,11 +110,12 @@ _PUNCTUATION = rf"{_INNER}{_SIGN}[^\p{{L}}\p{{N}}\n]{{2,}}(?<={_SIGN}){_INNER}"
 def strip_punctuation_lines(t: Column) -> Column:
     """Drops lines of three or more characters without a letter or digit; ends every line with one line feed.
 
-    One expression finds texts that have such a line, and only these are rewritten by another: nothing is split into lines.
+    With a line feed before the first line every line goes with the one before it, in one pass without splitting.
     """
     feeds = _only(t.rlike(T.OTHER_LINE_END), F.regexp_replace(t, T.LINE_END, "\n"), t)
     ended = _only(F.endswith(feeds, F.lit("\n")), F.left(feeds, F.length(feeds) - 1), feeds)
-    return _let(ended, lambda x: _only(x.rlike(rf"(?md)^{_PUNCTUATION}$"), F.regexp_replace(x, rf"(?md)(?:\n{_PUNCTUATION})+\z|^{_PUNCTUATION}(?:\n|\z)", ""), x))
+    kept = F.regexp_replace(F.concat(F.lit("\n"), ended), rf"\n{_PUNCTUATION}(?=\n|\z)", "")
+    return F.substr(kept, F.lit(2))
 
 
 def finalize(t: Column) -> Column:
