@@ -191,19 +191,23 @@ _LEFT = re.compile(r"(?<![\w@!|$'’])(?P<word>[^\W\d_]+)" + _GAP + r"\Z")
 _SEPARATORS = {"hyphen": "-", "blank": " ", "line": "\n"}
 
 
-def stream_operations(text: str, lexicon: Lexicon) -> list[tuple[int, int, str, str]]:
+def lowered(text: str) -> str:
+    """The text in small letters, character by character, so that places stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+
+
+def stream_operations(text: str, lexicon: Lexicon, words: set[str] | None = None) -> list[tuple[int, int, str, str]]:
     """(start, end, words, operations) where decoding the stream of a text joins, splits or changes pieces.
 
     Between two words of the lexicon without a hyphen nothing is joined, so the stream falls apart there: decoding each
     run of other pieces with one known neighbour on either side gives what decoding the whole text gives. A line end in
-    a joined word is told by n among the operations.
+    a joined word is told by n among the operations. words are those of the text in small letters, if they are known.
     """
-    low = text.lower()
-    if len(low) != len(text):
-        low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+    low = lowered(text)
     counts = lexicon.counts
     out, at = [], {}
-    for w in set(WORD.findall(low)).difference(counts):
+    for w in (set(WORD.findall(low)) if words is None else words).difference(counts):
         i = low.find(w)
         while i >= 0:
             j = i + len(w)
@@ -254,8 +258,8 @@ def has_break(text: str, lexicon: Lexicon) -> bool:
     return False
 
 
-def has_misread(text: str, lexicon: Lexicon) -> bool:
-    """Whether decoding replaces characters of a word."""
+def has_misread(text: str, lexicon: Lexicon, words: set[str] | None = None) -> bool:
+    """Whether decoding replaces characters of a word; words as in stream_operations."""
     for m in SIGNED.finditer(text):
         i, j = m.start(), m.end()
         while i and not text[i - 1].isspace() and text[i - 1] not in "(«“„\"'’/—*>":
@@ -268,7 +272,7 @@ def has_misread(text: str, lexicon: Lexicon) -> bool:
             got = lexicon.read(w)
             if got[2] and (got[0] in lexicon.counts or token == w or token.istitle()):
                 return True
-    for w in set(WORD.findall(text.lower())) - lexicon.usual:
+    for w in (set(WORD.findall(lowered(text))) if words is None else words) - lexicon.usual:
         if len(w) >= 4 and lexicon.read(w)[2]:
             for m in re.finditer(re.escape(w), text, re.I):
                 if TOKEN.match(text, m.start()) and TOKEN.match(text, m.start()).end() == m.end():
@@ -459,8 +463,9 @@ def scan_noise(df: DataFrame, lexicon: Lexicon, text: str = "content", keys: tup
                 if t.isspace() or not t:
                     continue
                 lines = lines_of(t)
-                joined = any("h" in o or "n" in o for *_, o in stream_operations(t, lex))
-                flags = 4 * (joined or has_break(t, lex)) + 2 * has_misread(t, lex) + has_page_line(lines)
+                words = set(WORD.findall(lowered(t)))
+                joined = any("h" in o or "n" in o for *_, o in stream_operations(t, lex, words))
+                flags = 4 * (joined or has_break(t, lex)) + 2 * has_misread(t, lex, words) + has_page_line(lines)
                 outer = outer_lines(t)
                 if flags or outer:
                     fields = [str(p), str(flags), *(x for place, key, beside in outer for x in (str(place), key, beside.replace(SEPARATOR, " ")))]
