@@ -104,15 +104,23 @@ RULES: tuple[Callable[[Words], float], ...] = (bound_by_length, bound_by_words,
 
 
 def order_rules(sample: list[str], least: float) -> list[Callable[[Words], float]]:
-    """The rules by rejections per second on the sample; rules that reject nothing are left out, as the exact one follows."""
+    """The rules by rejections per second: the best on the whole sample, then the best on what it leaves, and so on; rules
+    that reject nothing more are left out, as the exact one follows. Finding the words is no rule's cost, as all need them."""
     if not sample:
         return [bound_by_length]
-    rated = []
-    for rule in RULES:
-        began = time.perf_counter()
-        rejected = sum(rule(Words(t)) < least for t in sample)
-        rated.append((rejected / (time.perf_counter() - began + 1e-9), rule))
-    return [rule for rate, rule in sorted(rated, key=lambda x: -x[0]) if rate]
+    left, rules, order = [Words(t) for t in sample], list(RULES), []
+    while left and rules:
+        rated = []
+        for rule in rules:
+            began = time.perf_counter()
+            stay = [w for w in left if rule(w) >= least]
+            rated.append(((len(left) - len(stay)) / (time.perf_counter() - began + 1e-9), rule, stay))
+        rate, best, left = max(rated, key=lambda x: x[0])
+        if not rate:
+            break
+        rules.remove(best)
+        order.append(best)
+    return order
 
 
 def repeated_share(text: str, least: float = 0.0, rules: list[Callable[[Words], float]] | None = None) -> float:
@@ -137,17 +145,23 @@ def repeated_documents(df: DataFrame, least: float = 0.3, key: str = "doc_id", o
     """
     parts = df.select(F.col(key).alias("key"), F.col(order).alias("at"), F.col(text).alias("text")).where("text is not null")
     sizes = parts.groupBy("key").agg(F.sum(F.length("text")).alias("size"))
-    large = [r.key for r in sizes.where(f"size > {whole} and key is not null").select("key").limit(MOST_LARGE + 1).collect()]
-    if len(large) > MOST_LARGE:
-        raise ValueError(f"more than {MOST_LARGE} documents of over {whole} characters: raise whole")
+    large = sizes.where(f"size > {whole} and key is not null").select("key")
+    known = [r.key for r in large.limit(MOST_LARGE + 1).collect()]
     kind = df.schema[key].dataType.simpleString()
-    usual = _usual(parts.where(~F.col("key").isin(large) | F.col("key").isNull()) if large else parts, least, kind)
-    found = usual.unionByName(_large(parts.where(F.col("key").isin(large)), kind).where(F.col("share") >= least)) if large else usual
+    if not known:
+        found = _usual(parts, least, kind)
+    else:
+        if len(known) <= MOST_LARGE:
+            usual, rest = parts.where(~F.col("key").isin(known) | F.col("key").isNull()), parts.where(F.col("key").isin(known))
+        else:
+            large = cut_lineage(large)
+            usual, rest = parts.join(large, "key", "left_anti"), parts.join(large, "key", "left_semi")
+        found = _usual(usual, least, kind).unionByName(_large(rest, kind).where(F.col("share") >= least))
     return found.withColumnRenamed("key", key)
 
 
-#: Of the large documents only the keys reach the driver.
-MOST_LARGE = 10_000
+#: Up to so many large documents are told apart by a list of their keys, more by a join.
+MOST_LARGE = 1000
 
 
 def _usual(parts: DataFrame, least: float, kind: str) -> DataFrame:

@@ -58,6 +58,17 @@ def test_large_documents_take_another_way(spark, monkeypatch):
     large = {x.doc_id: x.share for x in repetition.repeated_documents(df, 0.0, whole=100).collect()}
     assert any(0.1 < x < 0.9 for x in usual.values())
     assert {k: v for k, v in usual.items() if k < 8} == pytest.approx(large)
+    monkeypatch.setattr(repetition, "MOST_LARGE", 3)
+    assert {x.doc_id: x.share for x in repetition.repeated_documents(df, 0.0, whole=100).collect()} == pytest.approx(large)
+
+
+def test_rules_are_ordered_by_what_they_reject_of_what_is_left():
+    r = random.Random(2)
+    texts = [random_text(r, 40, 200) for _ in range(20)] + ["a b", "c"]
+    rules = repetition.order_rules(texts, 0.3)
+    assert rules and len(set(rules)) == len(rules) <= len(repetition.RULES)
+    assert [repetition.repeated_share(t, 0.3, rules) >= 0.3 for t in texts] == [brute_share(t) >= 0.3 for t in texts]
+    assert repetition.order_rules([], 0.3) == [repetition.bound_by_length]
 
 
 def test_tree_joins_are_exact(spark):
