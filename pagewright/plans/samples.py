@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
+import zlib
 from html import escape
 
 _OFFICE = "http://schemas.openxmlformats.org"
@@ -65,6 +67,37 @@ def xlsx(name: str, rows: list[tuple[str, int]]) -> bytes:
     })
 
 
+def pdf(title: str, pages: list[list[str]], packed: bool = True, jpeg: bytes | None = None) -> bytes:
+    """A page for each list of lines, Latin-1 text in Helvetica; jpeg is a picture on every page."""
+    objects: list[bytes] = []
+
+    def add(body: bytes) -> int:
+        objects.append(body)
+        return len(objects)
+
+    def stream(data: bytes, head: str = "") -> bytes:
+        if packed and not head:
+            data, head = zlib.compress(data), "/Filter /FlateDecode"
+        return f"<< {head} /Length {len(data)} >>\nstream\n".encode() + data + b"\nendstream"
+
+    def string(text: str) -> bytes:
+        return b"(" + re.sub(rb"([\\()])", rb"\\\1", text.encode("latin-1")) + b")"
+
+    font = add(b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>")
+    picture = add(stream(jpeg, "/Type /XObject /Subtype /Image /Filter /DCTDecode")) if jpeg else 0
+    tree, kids = len(objects) + 2 * len(pages) + 1, []
+    for lines in pages:
+        text = b"BT /F1 12 Tf 14 TL 72 720 Td " + b" T* ".join(string(x) + b" Tj" for x in lines) + b" ET" + (b" /P1 Do" if jpeg else b"")
+        content = add(stream(text))
+        used = f"/Font << /F1 {font} 0 R >>" + (f" /XObject << /P1 {picture} 0 R >>" if jpeg else "")
+        kids.append(add(f"<< /Type /Page /Parent {tree} 0 R /Resources << {used} >> /Contents {content} 0 R >>".encode()))
+    add(f"<< /Type /Pages /Count {len(kids)} /Kids [{' '.join(f'{k} 0 R' for k in kids)}] >>".encode())
+    root = add(f"<< /Type /Catalog /Pages {tree} 0 R >>".encode())
+    info = add(b"<< /Title " + string(title) + b" >>")
+    body = b"".join(f"{i} 0 obj\n".encode() + o + b"\nendobj\n" for i, o in enumerate(objects, 1))
+    return b"%PDF-1.4\n" + body + f"trailer\n<< /Root {root} 0 R /Info {info} 0 R >>\n%%EOF\n".encode()
+
+
 class LengthReader:
     """A backend that tells what it was given."""
 

@@ -90,6 +90,8 @@ def _packed(spark: SparkSession, folder: str, kind: str) -> DataFrame:
             rows = [(int(x["n_nationkey"]), x["n_name"]) for x in own]
             if kind == "docx":
                 out.append(samples.docx(name, [n for _, n in rows], [["key", "name"], *([str(k), n] for k, n in rows)]))
+            elif kind == "pdf":
+                out.append(samples.pdf(name, [[n, f"number {k} (of {name})", "été"] for k, n in rows], packed=len(name) % 2 == 0))
             elif kind == "pptx":
                 out.append(samples.pptx([(n, f"Number {k} of {name}") for k, n in rows]))
             else:
@@ -124,6 +126,12 @@ def read_xlsx_files(spark: SparkSession, folder: str) -> DataFrame:
     return _first(_packed(spark, folder, "xlsx"))
 
 
+@query(f"WITH {_REGIONS} SELECT region || '.pdf' AS source, region AS title, (i - 1)::INTEGER AS page_idx, n_name || {LF} || 'number ' || n_nationkey || ' (of ' || region || ')' || {LF} || 'été' || {LF} AS text, 0::INTEGER AS n_images FROM r")
+def read_pdf_files(spark: SparkSession, folder: str) -> DataFrame:
+    """A page for each nation, in compressed streams and in plain ones."""
+    return _packed(spark, folder, "pdf").select("source", "title", F.inline("pages")).select("source", "title", "page_idx", "text", "n_images")
+
+
 @query(
     "SELECT c_custkey || k.ext AS source, k.kind AS source_type, k.error AS error_type, CASE WHEN k.error IS NULL THEN 1 ELSE 0 END::INTEGER AS n_sections, strlen(c_name)::BIGINT AS original_size_bytes FROM customer JOIN"
     " (VALUES (0, '.TXT', 'txt', NULL), (1, '.docx', NULL, 'ExtractionError'), (2, '.xyz', NULL, 'UnsupportedFormatError'), (3, '.xlsx', NULL, 'ExtractionError'), (4, '', NULL, 'UnsupportedFormatError')) AS k(m, ext, kind, error) ON c_custkey % 5 = k.m"

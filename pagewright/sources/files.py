@@ -1,7 +1,7 @@
 """Files to documents: discovery, dispatch by extension, and extraction in the executors.
 
 One row per document; a file that can't be read gives a row with error_type and error instead of failing the job.
-PDF files are read with an optional package; their pages then pass the page operators.
+PDF files are read with an optional package or a small reader of their own; their pages then pass the page operators.
 """
 
 from __future__ import annotations
@@ -16,11 +16,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.errors import EngineError, ExtractionError, MissingDependencyError, UnsupportedFormatError
+from pagewright.errors import EngineError, ExtractionError, UnsupportedFormatError
 from pagewright.functions import text as T
 from pagewright.operators.ocr import BACKENDS, Backend
 from pagewright.options import Options
-from pagewright.sources import html, office, rtf
+from pagewright.sources import html, office, pdf, rtf
 from pagewright.sources.decode import decode
 
 # Extensions and the kinds of file they stand for.
@@ -128,16 +128,23 @@ def read_rtf(data: bytes, name: str, options: Options, engine: Backend) -> dict:
 
 
 def read_pdf(data: bytes, name: str, options: Options, engine: Backend) -> dict:
-    """Pages with native text and number of images; images of the pages whose text has to be recognised come along where a backend is available."""
+    """Pages with native text and number of images; images of the pages whose text has to be recognised come along where a
+    backend is available: the page as a picture by the package for PDF, or else its largest JPEG picture."""
+
+    def wanted(text: str) -> bool:
+        return not options.no_ocr and (options.force_ocr or len(text.strip()) < options.pdf_min_native_chars_per_page) and engine.is_available()
+
     try:
         import pymupdf
     except ImportError:
-        raise MissingDependencyError("reading .pdf files needs the package pymupdf") from None
+        title, found = pdf.read_pages(data)
+        pages = [(i, text, None, n) for i, (text, n, _) in enumerate(found)]
+        return {"title": title, "pages": pages, "images": [(i, jpeg) for i, (text, _, jpeg) in enumerate(found) if jpeg and wanted(text)], "sections": []}
     pages, images = [], []
     with pymupdf.open(stream=data, filetype="pdf") as doc:
         for i, page in enumerate(doc):
             text = page.get_text()
-            if not options.no_ocr and (options.force_ocr or len(text.strip()) < options.pdf_min_native_chars_per_page) and engine.is_available():
+            if wanted(text):
                 images.append((i, page.get_pixmap(dpi=options.pdf_ocr_dpi).tobytes("png")))
             pages.append((i, text, None, len(page.get_images(full=True))))
         title = (doc.metadata or {}).get("title") or None

@@ -106,6 +106,54 @@ def test_html():
     assert html.to_markdown("just text") == (None, "just text") and html.to_markdown("") == (None, "")
 
 
+def test_pdf():
+    from pagewright.plans import samples
+    from pagewright.sources import pdf
+
+    for packed in (True, False):
+        title, pages = pdf.read_pages(samples.pdf("A (title)", [["one", "two (2) \\\\ é"], []], packed))
+        assert title == "A (title)" and pages == [("one\ntwo (2) \\\\ é\n", 0, None), ("", 0, None)]
+    assert pdf.read_pages(samples.pdf("t", [["x"]], jpeg=b"JPEG"))[1] == [("x\n", 1, b"JPEG")]
+    for bad in (b"", b"no", b"%PDF-1.4\n", b"%PDF-1.4\ntrailer << /Encrypt 1 0 R >>"):
+        with pytest.raises(errors.ExtractionError):
+            pdf.read_pages(bad)
+
+
+def test_pdf_positions_and_fonts():
+    from pagewright.sources import pdf
+
+    class Nothing:
+        def get(self, x):
+            return x
+
+        def dict(self, x):
+            return x or {}
+
+    cmap = b"1 beginbfchar <0001> <00E9> endbfchar 1 beginbfrange <0002> <0004> <0061> <0005> <0006> [<0078> <0079007A>] endbfrange"
+    font = pdf.Font(Nothing(), {"Subtype": "Type0", "ToUnicode": pdf.Stream({}, cmap)})
+    assert font.read(bytes([0, 1, 0, 2, 0, 4, 0, 6]))[0] == "éacyz" and pdf.Font(Nothing(), {"Subtype": "Type0"}).read(b"ab")[0] == ""
+    named = pdf.Font(Nothing(), {"Encoding": {"Differences": [65, pdf.Name("eacute"), pdf.Name("seven"), pdf.Name("uni2022"), pdf.Name("comma")]}})
+    assert named.read(b"ABCDE")[0] == "é7•,E"
+    text = b"BT /F 10 Tf 0 100 Td [(wor) -20 (d) -600 (next)] TJ 100 0 Td (far) Tj 0 -12 Td (line) Tj ET BI /W 1 ID xx EI BT 1 0 0 1 0 50 Tm (<) Tj (\\101\\\n\\(b\\)) Tj ET"
+    page = pdf.Page(Nothing(), {"Contents": pdf.Stream({}, text), "Resources": {"Font": {"F": {"Subtype": "Type1"}}}})
+    assert page.text == "word next far\nline\n<A(b)\n"
+
+
+def test_pdf_objects_in_streams():
+    import zlib
+
+    from pagewright.sources import pdf
+
+    inner = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Kids [3 0 R] /Resources << /Font << /F << /Subtype /Type1 >> >> >> >>", b"<< /Type /Page /Contents [4 0 R] >>"]
+    places = [sum(len(x) + 1 for x in inner[:k]) for k in range(3)]
+    head = " ".join(f"{k + 1} {p}" for k, p in enumerate(places)).encode() + b" "
+    packed = zlib.compress(head + b" ".join(inner))
+    content = b"BT /F 9 Tf (in a stream) Tj ET"
+    data = b"%PDF-1.5\n5 0 obj << /Type /ObjStm /N 3 /First " + str(len(head)).encode() + b" /Filter /FlateDecode /Length " + str(len(packed)).encode() + b" >> stream\r\n" + packed + b"\r\nendstream endobj\n"
+    data += b"4 0 obj << /Length 6 0 R >> stream\n" + content + b"\nendstream endobj 6 0 obj " + str(len(content)).encode() + b" endobj\n7 0 obj << /Type /XRef /Root 1 0 R /Length 0 >> stream\n\nendstream endobj"
+    assert pdf.read_pages(data)[1] == [("in a stream\n", 0, None)]
+
+
 def test_rtf():
     number = "\\" + "u8217?"
     given = r"{\rtf1\ansi{\fonttbl{\f0 Arial;}}{\*\generator x;}Caf\'e9 @s\par two\tab x\{y\}}".replace("@", number)
@@ -121,7 +169,7 @@ def test_unknown_and_broken_files_become_rows(spark, tmp_path):
     got = {r.source: r for r in files.extract(found).collect()}
     assert set(got) == {"a.TXT", "b.docx", "c.md", "e.pdf", "f.html"}
     assert got["a.TXT"].sections[0].content == "A" and got["c.md"].source_type == "markdown" and got["f.html"].sections[0].content == "f"
-    assert got["b.docx"].error_type == "ExtractionError" and got["e.pdf"].error_type in ("MissingDependencyError", "ExtractionError")
+    assert got["b.docx"].error_type == "ExtractionError" and got["e.pdf"].error_type == "ExtractionError"
     named = files.extract(files.read_files(spark, [str(tmp_path / "d.bin")])).first()
     assert named.error_type == "UnsupportedFormatError" and issubclass(errors.UnsupportedFormatError, ValueError)
 
@@ -208,6 +256,19 @@ def test_images_are_recognised_once(spark, tmp_path):
     assert "ocr_skipped" in [r.event for r in events.of_documents(process_files(spark, str(tmp_path / "in"), Options(no_ocr=True), extracted_at=""), 10).collect()]
 
 
+def test_pages_of_pdf_files(spark, tmp_path):
+    from pagewright.operators import ocr
+    from pagewright.options import Options
+    from pagewright.plans import samples
+    from pagewright.plans.process import process_files
+
+    ocr.BACKENDS.add(samples.LengthReader(), replace=True)
+    (tmp_path / "scan.pdf").write_bytes(samples.pdf("Scan", [[], ["native text that is long enough to be left alone, as it is"]], jpeg=b"1234567"))
+    row = process_files(spark, str(tmp_path), Options(ocr_backend="length", ocr_languages="fra", empty_page_min_words=1), extracted_at="").first()
+    assert [(s.header, s.content) for s in row.sections] == [("Page 1 (OCR)", "7 bytes, fra, 11"), ("Page 2", "native text that is long enough to be left alone, as it is")]
+    assert (row.title, row.ocr_pages, row.ocr_used, row.ocr_wanted, row.language) == ("Scan", [1], True, 1, "fra") and "ocr_pages:\n- 1\n" in row.output
+
+
 def test_pages_tell_the_front_matter(spark, tmp_path, monkeypatch):
     from pagewright.options import Options
     from pagewright.plans.process import process_files
