@@ -156,6 +156,12 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return unnatural_rows(table(spark, folder, "sections"), table(spark, folder, "common_words")).select("doc_id", "pos").distinct()
 
 
+def p5_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Those statistics of every section that SQL can state."""
+    stats = text_statistics(table(spark, folder, "sections")).dropDuplicates(["doc_id", "pos"])
+    return stats.select("doc_id", "pos", "n_words", "symbol_ratio", "line_end_share")
+
+
 def p5_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """Statistics of every section beside the word count of its page."""
     return page_statistics(table(spark, folder, "sections"), table(spark, folder, "page_analysis"), table(spark, folder, "common_words"))

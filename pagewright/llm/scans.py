@@ -4,7 +4,8 @@ Words are decoded over the character stream without line ends. A lexicon of the
 reading its cost; the decoder may join the halves of a word over a hyphen and line end, drop a space inside a word, set one
 between two words, and replace confused characters. Paragraph boundaries between the decoded lines are chosen by
 dynamic programming. Running titles are lines that recur as first or last line of three or more sections of a
-document, apart from wording, case, page number and misread letters; page numbers are lines of their own there.
+document, apart from wording, case, page number and misread letters, however long the document is, if the three stand
+within SPAN sections; so a document is read in windows, none of which grows with it. Page numbers are lines of their own.
 
 Defined results: null gives null; empty and blank texts come out empty and are no case; each (doc_id, pos) counts
 once; a document of fewer than three sections has no running title.
@@ -308,21 +309,48 @@ def title_key(line: str) -> str:
 
 def similarity(a: str, b: str) -> float:
     """Dice coefficient of the letter pairs."""
-    if a == b:
-        return 1.0
     x, y = _pairs(a), _pairs(b)
-    if abs(sum(x.values()) - sum(y.values())) > 0.6 * max(len(a), len(b)):
-        return 0.0
-    return 2 * (x & y).total() / max(1, x.total() + y.total())
+    return 2 * len(x & y) / max(1, len(x) + len(y))
 
 
 @lru_cache(maxsize=20_000)
-def _pairs(t: str) -> Counter:
-    return Counter(t[i : i + 2] for i in range(len(t) - 1))
+def _pairs(t: str) -> frozenset[tuple[str, int]]:
+    """The letter pairs of a text, the second of a kind apart from the first."""
+    seen: Counter = Counter()
+    out = []
+    for i in range(len(t) - 1):
+        pair = t[i : i + 2]
+        out.append((pair, seen[pair]))
+        seen[pair] += 1
+    return frozenset(out)
+
+
+class Alike:
+    """Finds the keys of a document that are alike, without comparing all with all.
+
+    Two keys of similarity ALIKE share so many pairs that each has one of them among its rarest, in numbers that follow from
+    ALIKE (prefix filtering); only keys that share one there are compared, and none is missed.
+    """
+
+    def __init__(self, keys: list[str]):
+        often = Counter(p for k in keys for p in _pairs(k))
+        self.prefix = {k: sorted(_pairs(k), key=lambda p: (often[p], p))[: len(_pairs(k)) - math.ceil(LEAST_SHARED * len(_pairs(k)) - 1e-9) + 1] for k in keys}
+        self.holders: dict[tuple[str, int], list[str]] = {}
+        for k in keys:
+            for p in self.prefix[k]:
+                self.holders.setdefault(p, []).append(k)
+
+    def near(self, key: str, left: dict[str, int]) -> set[str]:
+        candidates = {x for p in self.prefix[key] for x in self.holders[p] if x in left}
+        return {x for x in candidates if similarity(key, x) >= ALIKE} | {key}
 
 
 SEPARATOR = "\x1f"
 ALIKE, RECURS = 0.72, 3
+#: Windows of twice as many sections, each beginning so many after the one before, hold any sections that stand so near.
+SPAN = 5000
+#: The share of a key's pairs that any key alike has: ALIKE / 2 of both, of which the other has at least ALIKE / (2 - ALIKE) as many.
+LEAST_SHARED = ALIKE / 2 * (1 + ALIKE / (2 - ALIKE))
 
 
 def running_titles(rows: list[tuple[int, int, str, str]]) -> set[tuple[int, int]]:
@@ -334,12 +362,15 @@ def running_titles(rows: list[tuple[int, int, str, str]]) -> set[tuple[int, int]
     if len({p for p, *_ in rows}) < RECURS:
         return found
     keys = Counter(k for _, _, k, _ in rows)
-    left = dict(keys)
+    by_key: dict[str, list[tuple[int, int, str, str]]] = {}
+    for r in rows:
+        by_key.setdefault(r[2], []).append(r)
+    left, alike = dict(keys), Alike(list(keys))
     for k, _ in sorted(keys.items(), key=lambda x: (-x[1], x[0])):
         if k not in left:
             continue
-        near = {x for x in left if similarity(k, x) >= ALIKE}
-        own = [r for r in rows if r[2] in near]
+        near = alike.near(k, left)
+        own = [r for x in near for r in by_key[x]]
         if len({r[0] for r in own}) >= RECURS:
             beside = Counter(r[3] for r in own)
             if len(beside) * 2 > len(own):
@@ -443,12 +474,12 @@ def _flow(lines: list[str], lexicon: Lexicon) -> str:
     return TOKEN.sub(word, text)
 
 
-def scan_noise(df: DataFrame, lexicon: Lexicon, text: str = "content", keys: tuple[str, str] = ("doc_id", "pos")) -> DataFrame:
+def scan_noise(df: DataFrame, lexicon: Lexicon, text: str = "content", keys: tuple[str, str] = ("doc_id", "pos"), span: int = SPAN) -> DataFrame:
     """keys, broken, misread, page_number, running_title of the rows with any of them, once each; title_places is 1 for the
     first line, 2 for the last, 3 for both.
 
-    Texts aren't shuffled; only the outer lines that may be titles are grouped by document. The lexicon (at most
-    1 / SHARE words) is sent to the executors.
+    Texts aren't shuffled; only the outer lines that may be titles are grouped, by windows of a document. The lexicon (at
+    most 1 / SHARE words) is sent to the executors.
     """
     shared = df.sparkSession.sparkContext.broadcast((lexicon.counts, lexicon.compounds, lexicon.total))
     doc, pos = keys
@@ -469,12 +500,13 @@ def scan_noise(df: DataFrame, lexicon: Lexicon, text: str = "content", keys: tup
                 outer = outer_lines(t)
                 if flags or outer:
                     fields = [str(p), str(flags), *(x for place, key, beside in outer for x in (str(place), key, beside.replace(SEPARATOR, " ")))]
-                    out.append((d, SEPARATOR.join(fields)))
+                    at = int(p // span)
+                    out += [(d, w, SEPARATOR.join(fields)) for w in ((at - 1, at) if at > 0 else (at,))]
             if out:
-                yield pd.DataFrame(out, columns=["doc", "told"])
+                yield pd.DataFrame(out, columns=["doc", "window", "told"])
 
-    told = rows.where("pos is not null").mapInPandas(run, kinds.split(",")[0] + ", told string")
-    listed = told.groupBy("doc").agg(F.collect_set("told").alias("told"))
+    told = rows.where("pos is not null").mapInPandas(run, kinds.split(",")[0] + ", window long, told string")
+    listed = told.groupBy("doc", "window").agg(F.collect_set("told").alias("told"))
 
     def titles(batches):
         for b in batches:
@@ -491,6 +523,8 @@ def scan_noise(df: DataFrame, lexicon: Lexicon, text: str = "content", keys: tup
                 yield pd.DataFrame(out, columns=["doc", "pos", "broken", "misread", "page_number", "running_title", "title_places"])
 
     found = listed.mapInPandas(titles, kinds + ", broken boolean, misread boolean, page_number boolean, running_title boolean, title_places int")
+    flags = [F.bool_or(c).alias(c) for c in ("broken", "misread", "page_number", "running_title")]
+    found = found.groupBy("doc", "pos").agg(*flags, F.bit_or("title_places").alias("title_places"))  # a section may lie in two windows
     return found.withColumnRenamed("doc", doc).withColumnRenamed("pos", pos)
 
 

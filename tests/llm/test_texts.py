@@ -312,6 +312,21 @@ def test_scan_noise(spark):
     assert scans.scan_noise(df.limit(0), scans.build_lexicon(df.limit(0))).count() == 0
 
 
+def test_windows_of_long_documents(spark):
+    """Titles that stand within a span are found wherever windows begin, others only where a window holds them."""
+    titled = {2, 5, 6, 9, 21, 40}
+    r = random.Random(11)
+
+    def other():
+        return " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(4)).capitalize()
+
+    rows = [(1, i, f"{'The report of the design office' if i in titled else other()}\nThe crew checks part {'abcdefgh'[i % 8]}{'xyz'[i % 3]} now.") for i in range(50)]
+    df = spark.createDataFrame(rows + rows[:7], "doc_id long, pos int, content string")
+    for span, expected in ((5000, titled), (5, {2, 5, 6, 9}), (12, {2, 5, 6, 9, 21})):
+        got = scans.scan_noise(df, lexicon(), span=span).where("running_title").collect()
+        assert sorted(r.pos for r in got) == sorted(expected), span
+
+
 def test_the_whole_stream_is_decoded():
     lex = lexicon()
     text = "The ser vice of\nthecrew is mod\nern in the cold area."
@@ -334,6 +349,19 @@ def test_windows_give_what_the_whole_stream_gives():
         assert text.split() == whole
 
 
+def test_no_like_title_is_missed():
+    r = random.Random(6)
+    base = ["".join(r.choice("abcdeil ") for _ in range(r.randrange(8, 40))) for _ in range(40)]
+    keys = list(dict.fromkeys("".join(c if r.random() > 0.12 else r.choice("abcdeil ") for c in r.choice(base)) for _ in range(600)))
+    alike, left = scans.Alike(keys), dict.fromkeys(keys, 1)
+    pairs = 0
+    for k in keys:
+        near = alike.near(k, left)
+        assert near == {x for x in keys if scans.similarity(k, x) >= scans.ALIKE} | {k}
+        pairs += len(near) - 1
+    assert pairs > 1000
+
+
 def test_repaired_rows(spark):
     titles = ["The report of the design office    1", "THE REPORT OF THE DESIGN OFFICE - p. 2", "The rep0rt of the design offlce | 3"]
     rows = [(1, i, f"{t}\nThe crew of part {i} checks the serv-\nice {'abc'[i]} now.") for i, t in enumerate(titles)] + [(2, 0, "The mod\nern service."), (2, 0, "The mod\nern service."), (3, 0, None), (4, 0, "Fine.")]
@@ -412,3 +440,19 @@ def test_date_placeholders_pass_the_gate(first):
                 date = sign.join((first, middle, last))
                 for text in (f"vom {date} an", f"vom {date.lower()} an", f"vom {date.title()} an"):
                     assert residue.has_placeholder(text) and [k for k, _ in residue.labelled_units(text)] == [3], text
+
+
+def test_null_keys_and_clashing_columns(spark):
+    """Rows without keys go through every operator on sections; columns that bear the names of results don't matter."""
+    garbled = encoding.garble(FRENCH, ("utf-8", "cp1252"))
+    rows = [(None, None, f"{ENGLISH} *zz*"), (None, 1, garbled), (1, None, TABLE), (2, 2, "le ｂｕｔ"), (2, 2, "le ｂｕｔ"), (None, None, None)]
+    names = ("clean", "repaired", "consistent", "lang", "is_prose", "segment", "n_marks")
+    df = spark.createDataFrame(rows, "doc_id long, pos int, content string").select("*", *[F.lit("x").alias(n) for n in names], F.lit(1).alias("text"))
+    assert [(r.doc_id, r.pos) for r in encoding.garbled_rows(df).collect()] == [(None, 1)]
+    assert [(r.doc_id, r.pos) for r in forms.inconsistent_rows(df).collect()] == [(2, 2), (2, 2)]
+    assert [(r.doc_id, r.pos) for r in quality.unnatural_rows(df).collect()] == [(1, None)]
+    assert quality.text_statistics(df).count() == 6
+    assert [(r.doc_id, r.pos) for r in markup.marked_rows(df).collect()] == [(None, None)]
+    model = language.fit(*sample())
+    assert {(r.doc_id, r.pos, r.lang) for r in language.language_segments(df, model).where("lang = 'en'").collect()} == {(None, None, "en")}
+    assert scans.scan_noise(df, lexicon()).count() >= 0
