@@ -424,29 +424,49 @@ def repair(text: str | None, lexicon: Lexicon, titles: frozenset[str] = frozense
     return "\n\n".join(paragraphs(kept, lexicon))
 
 
-def paragraphs(lines: list[str], lexicon: Lexicon) -> list[str]:
-    """Joins lines into paragraphs at least cost: a boundary costs 3, a missing one what the line end and the next start say."""
-    texts = [x.strip() for x in lines if x.strip()]
+#: Costs: a paragraph's begin; a missing one at a blank line, within a sentence or not, at a short line that ends a sentence, before
+#: a line of another kind; a paragraph that is nothing but a piece of a sentence.
+BEGIN, AT_BLANK, WITHIN, AT_END, AT_KIND, PIECE = 3.0, 8.0, 5.0, 4.0, 6.0, 2.5
+
+
+def begin_paragraphs(lines: list[str]) -> tuple[list[str], list[bool], float]:
+    """(filled lines, which of them begin a paragraph, the cost) at least cost, by dynamic programming over the lines: each
+    begins a paragraph or goes on, and what that costs hangs on what the line before does, as a piece of a sentence is hardly
+    a paragraph of its own."""
+    texts, blank_before, blank = [], [], True
+    for x in map(str.strip, lines):
+        if x:
+            texts.append(x)
+            blank_before.append(blank)
+        blank = not x
     if not texts:
-        return []
-    blank_before, seen = [], True
-    for x in lines:
-        if not x.strip():
-            seen = True
-            continue
-        blank_before.append(seen)
-        seen = False
-    width = max(len(x) for x in texts)
-    # What a line end costs doesn't hang on the others, so the least sum is the least at each.
-    groups = [[texts[0]]]
+        return [], [], 0.0
+    width = max(map(len, texts))
+    ended = [x[-1] in ".!?:" for x in texts]
+    low = [x[:1].islower() for x in texts]
+    piece = [PIECE * (a and not e and blocks.line_kind(x) == "text") for x, a, e in zip(texts, low, ended)]
+    best, back = [math.inf, BEGIN], []  # of going on, of beginning
     for k in range(1, len(texts)):
         a, b = texts[k - 1], texts[k]
-        missing = 8.0 * blank_before[k] + 4.0 * (a[-1] in ".!?:" and (b[:1].isupper() or not b[:1].isalnum()) and len(a) < 0.7 * width)
-        missing += 6.0 * (blocks.line_kind(b) not in ("text",) and not b[:1].islower())
-        if missing < 3.0:
-            groups[-1].append(b)
-        else:
-            groups.append([b])
+        missing = (WITHIN if low[k] and not ended[k - 1] else AT_BLANK) * blank_before[k]
+        missing += AT_END * (ended[k - 1] and (b[:1].isupper() or not b[:1].isalnum()) and len(a) < 0.7 * width)
+        missing += AT_KIND * (not low[k] and blocks.line_kind(b) != "text")
+        new = [best[0], best[1] + piece[k - 1]]
+        back.append((int(best[1] < best[0]), int(new[1] < new[0])))
+        best = [min(best) + missing, min(new) + BEGIN]
+    begins = [best[1] + piece[-1] < best[0]]
+    for told in reversed(back):
+        begins.append(bool(told[begins[-1]]))
+    return texts, begins[::-1], min(best[1] + piece[-1], best[0])
+
+
+def paragraphs(lines: list[str], lexicon: Lexicon) -> list[str]:
+    """The paragraphs of lines, each as continuous text."""
+    groups: list[list[str]] = []
+    for x, begin in zip(*begin_paragraphs(lines)[:2]):
+        if begin or not groups:
+            groups.append([])
+        groups[-1].append(x)
     return [_flow(g, lexicon) for g in groups]
 
 

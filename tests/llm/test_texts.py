@@ -337,6 +337,57 @@ def test_the_whole_stream_is_decoded():
     assert scans.repair("\n".join(long), lex) == " ".join(long)
 
 
+@pytest.mark.parametrize(
+    ("lines", "expected"),
+    [
+        (["the crew checks the valve", "in the cold area."], ["the crew checks the valve in the cold area."]),
+        (["The crew checks", "", "the valve", "", "in the cold area."], 2),  # a piece joins a neighbour, which blank lines alone wouldn't make it do
+        (["The crew checks the valve.", "", "The end of the month."], 2), (["The end.", "The crew checks the valve in the cold area now"], 2), (["Area:", "- the valve", "- the crew"], 3), ([], 0), (["", " "], 0), (["crew"], 1),
+    ],
+)
+def test_paragraphs_at_least_cost(lines, expected):
+    got = scans.paragraphs(lines, lexicon())
+    assert got == expected if isinstance(expected, list) else len(got) == expected
+
+
+def brute_paragraphs(lines):
+    """The least cost over all ways to begin paragraphs."""
+    from itertools import product
+
+    texts = [x.strip() for x in lines if x.strip()]
+    before, blank = [], True
+    for x in lines:
+        if x.strip():
+            before.append(blank)
+        blank = not x.strip()
+    width = max(map(len, texts))
+
+    def piece(x):
+        return scans.PIECE * (x[0].islower() and x[-1] not in ".!?:" and blocks.line_kind(x) == "text")
+
+    def cost(begins):
+        total = 0.0
+        for k, begin in enumerate(begins):
+            last = k + 1 == len(begins) or begins[k + 1]
+            total += piece(texts[k]) * (begin and last) + scans.BEGIN * begin
+            if not begin:
+                a, b = texts[k - 1], texts[k]
+                end = a[-1] in ".!?:"
+                total += (scans.WITHIN if b[0].islower() and not end else scans.AT_BLANK) * before[k] + scans.AT_END * (end and (b[0].isupper() or not b[0].isalnum()) and len(a) < 0.7 * width)
+                total += scans.AT_KIND * (not b[0].islower() and blocks.line_kind(b) != "text")
+        return total
+
+    return min((cost((True, *rest)), sum(rest) + 1) for rest in product((True, False), repeat=len(texts) - 1))
+
+
+def test_paragraphs_against_all_ways():
+    r = random.Random(12)
+    for _ in range(150):
+        lines = [r.choice(["", "the crew checks", "the valve.", "The crew checks the valve", "The area of the crew is cold now.", "- the valve", "in the"]) for _ in range(r.randrange(2, 9))]
+        if any(lines):
+            assert scans.begin_paragraphs(lines)[2] == pytest.approx(brute_paragraphs(lines)[0])
+
+
 def test_windows_give_what_the_whole_stream_gives():
     lex, r = lexicon(), random.Random(4)
     for _ in range(200):
