@@ -404,10 +404,11 @@ def test_no_like_title_is_missed():
     r = random.Random(6)
     base = ["".join(r.choice("abcdeil ") for _ in range(r.randrange(8, 40))) for _ in range(40)]
     keys = list(dict.fromkeys("".join(c if r.random() > 0.12 else r.choice("abcdeil ") for c in r.choice(base)) for _ in range(600)))
-    alike, left = scans.Alike(keys), dict.fromkeys(keys, 1)
+    alike, compared, left = scans.Alike(keys), scans.Alike(keys, few=1000), dict.fromkeys(keys, 1)
     pairs = 0
     for k in keys:
         near = alike.near(k, left)
+        assert near == compared.near(k, left)
         assert near == {x for x in keys if scans.similarity(k, x) >= scans.ALIKE} | {k}
         pairs += len(near) - 1
     assert pairs > 1000
