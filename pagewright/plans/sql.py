@@ -34,7 +34,8 @@ def word_count(x: str) -> str:
 
 
 def percent(after: str, before: str, digits: int = 2) -> str:
-    return f"CASE WHEN {before} > 0 THEN round_even((1 - CAST({after} AS DOUBLE) / {before}) * 100, {digits}) ELSE 0.0::DOUBLE END"
+    """Half to even by the shortest digits of the double, as a double scaled up before rounding may be another one."""
+    return f"CASE WHEN {before} > 0 THEN round_even(CAST(CAST((1 - CAST({after} AS DOUBLE) / {before}) * 100 AS VARCHAR) AS DECIMAL(38, 18)), {digits})::DOUBLE ELSE 0.0::DOUBLE END"
 
 
 def tokens(x: str) -> str:
