@@ -502,7 +502,7 @@ def test_null_keys_and_clashing_columns(spark):
     df = spark.createDataFrame(rows, "doc_id long, pos int, content string").select("*", *[F.lit("x").alias(n) for n in names], F.lit(1).alias("text"))
     assert [(r.doc_id, r.pos) for r in encoding.garbled_rows(df).collect()] == [(None, 1)]
     assert [(r.doc_id, r.pos) for r in forms.inconsistent_rows(df).collect()] == [(2, 2), (2, 2)]
-    assert [(r.doc_id, r.pos) for r in quality.unnatural_rows(df).collect()] == [(1, None)]
+    assert [(r.doc_id, r.pos) for r in quality.unnatural_rows(df).collect()] == [(1, None), (2, 2), (2, 2)]
     assert quality.text_statistics(df).count() == 6
     assert [(r.doc_id, r.pos) for r in markup.marked_rows(df).collect()] == [(None, None)]
     model = language.fit(*sample())
